@@ -44,6 +44,14 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size; only used to size partitions."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -18,7 +18,8 @@ cost, never the result: any fixed choice keeps every link. The broadcast list of
 frequent n-grams is therefore kept under a bound by raising its threshold.
 
 Equal sets are one class from the start (by a 64-bit hash of the set). Candidate
-pairs are verified on whole n-gram sets of 64-bit hashes.
+pairs are sifted by histograms of their n-grams, which bound the overlap from
+above, and those left are verified on whole n-gram sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import BROADCAST_BYTES, HashCache, column_of, doc_text, mix64, plan_bytes, power_of_two, slices, stored, texts_of
+from plexora.llm.common import BROADCAST_BYTES, HashCache, column_of, discard, doc_text, mix64, plan_bytes, power_of_two, slices, stored, texts_of
 from plexora.llm.graphs import components
 
 #: n-grams whose hash lies in this share of the hash range are counted; a prefix lies there unless over half of a document is frequent.
 COUNTED = 0.30
 #: n-grams in at least this many documents are frequent.
 FREQUENT = 24
+#: Cells of the histogram by which pairs are sifted before their sets are compared.
+CELLS = 64
 #: n-grams of a size level per bucket of the frequent class.
 PER_BUCKET = 16
 
@@ -101,12 +104,12 @@ def signatures(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndar
         hot = np.zeros(n, dtype=bool)
     rare = grams[~hot]
     if len(rare) >= need:
-        return rare[:need]
-    many, out = grams[hot], [rare]
+        return mix64(rare[:need])
+    many, out = grams[hot], [mix64(rare)]
     for level in {n.bit_length() - 1, (100 * n // percent).bit_length() - 1}:
         buckets = (1 << level) // PER_BUCKET
         if not buckets:  # short sets: single n-grams in either class
-            out.append(many[: need - len(rare)])
+            out.append(mix64(many[: need - len(rare)]))
             continue
         bucket = (many & np.uint64(buckets - 1)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -125,6 +128,15 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _bucketed(values: np.ndarray, buckets: int, span: float) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Distinct values and their counts, cut by ranges of the hash: numbers of the buckets that have any, values, counts."""
+    values, counts = np.unique(values, return_counts=True)
+    cuts = np.searchsorted(values, np.array([int(span * 2**64 * b / buckets) for b in range(1, buckets)], dtype=np.uint64))
+    v, c = np.split(values, cuts), np.split(counts.astype(np.uint32), cuts)
+    full = [b for b in range(buckets) if len(v[b])]
+    return full, [v[b].tobytes() for b in full], [c[b].tobytes() for b in full]
+
+
 def _measure(width: int, buckets: int):
     """Per document its set's size and id; per batch and hash bucket the distinct counted n-grams and how often they came."""
     limit = np.uint64(int(COUNTED * 2**64))
@@ -141,16 +153,11 @@ def _measure(width: int, buckets: int):
                 yield pa.RecordBatch.from_arrays(
                     [column_of(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], names
                 )
-            grams, counts = np.unique(np.concatenate(kept) if kept else np.empty(0, np.uint64), return_counts=True)
-            if not len(grams):
-                continue
-            # A sorted array is cut by its top bits: each bucket is a range of hashes.
-            cuts = np.searchsorted(grams, np.array([int(COUNTED * 2**64 * b / buckets) for b in range(1, buckets)], dtype=np.uint64))
-            g, c = np.split(grams, cuts), np.split(counts.astype(np.uint32), cuts)
-            full = [b for b in range(buckets) if len(g[b])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([g[b].tobytes() for b in full], pa.binary()), pa.array([c[b].tobytes() for b in full], pa.binary())], names
-            )
+            if kept:
+                full, grams, counts = _bucketed(np.concatenate(kept), buckets, COUNTED)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(grams, pa.binary()), pa.array(counts, pa.binary())], names
+                )
 
     return run
 
@@ -185,22 +192,68 @@ def frequent_grams(parts: DataFrame, most: int = BROADCAST_BYTES // 8) -> np.nda
     return np.sort(rows.column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """How many n-grams of a set fall into each cell of their low bits."""
+    return np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes()
+
+
 def _index(width: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, frequent = Shingler(width), shared.value
         for whole in batches:
             seen: set[int] = set()  # copies within a batch are indexed once
             for batch in slices(whole):
-                sig, nid, size = [], [], []
+                rows = []
                 for grams in shingler(texts_of(batch)):
                     if len(grams) and (key := set_id(grams)) not in seen:
                         seen.add(key)
-                        s = signatures(grams, frequent, percent)
-                        sig.append(s)
-                        nid.append(np.full(len(s), key, dtype=np.int64))
-                        size.append(np.full(len(s), len(grams), dtype=np.int32))
-                if sig:
-                    yield pa.RecordBatch.from_arrays([_i64(np.concatenate(sig)), pa.array(np.concatenate(nid)), pa.array(np.concatenate(size))], ["sig", "nid", "n"])
+                        rows.append((key, len(grams), signatures(grams, frequent, percent).tobytes(), histogram(grams)))
+                if rows:
+                    nid, n, sigs, cells = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(nid, pa.int64()), pa.array(n, pa.int32()), pa.array(sigs, pa.binary()), pa.array(cells, pa.binary())], ["nid", "n", "sigs", "cells"])
+
+    return run
+
+
+def _cut(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full, sigs, counts = _bucketed(np.frombuffer(b"".join(column_of(batch, "sigs").to_pylist()), dtype=np.uint64), buckets, 1.0)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(sigs, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "grams", "counts"])
+
+    return run
+
+
+def _posted(shared):
+    """(sig, nid, n, cells): a row per signature that others have too, and per document with any of them its cells (sig null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several = None if shared is None else shared.value
+        for batch in batches:
+            sigs = [np.frombuffer(x, dtype=np.uint64) for x in column_of(batch, "sigs").to_pylist()]
+            row = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+            flat = np.concatenate([np.empty(0, np.uint64), *sigs])
+            if several is not None:
+                keep = np.isin(flat, several)
+                row, flat = row[keep], flat[keep]
+            some = pa.array(np.unique(row))
+            own = pa.array(row)
+            nid, n, cells = (column_of(batch, c) for c in ("nid", "n", "cells"))
+            yield pa.RecordBatch.from_arrays([_i64(flat), nid.take(own), n.take(own), pa.nulls(len(row), pa.binary())], ["sig", "nid", "n", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), nid.take(some), n.take(some), cells.take(some)], ["sig", "nid", "n", "cells"])
+
+    return run
+
+
+def _can_be_similar(percent: int):
+    """Keeps the pairs whose cells allow the similarity: a common n-gram lies in the same cell of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), dtype=np.uint32).reshape(-1, CELLS).astype(np.int64) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(1)
+            keep = pa.array(100 * most >= percent * (x.sum(1) + y.sum(1) - most))
+            yield batch.filter(keep).select(["a", "b"])
 
     return run
 
@@ -243,19 +296,36 @@ class NgramJaccard:
     def __init__(self, docs: DataFrame, width: int = 5, percent: int = 80) -> None:
         self.docs, self.width, self.percent = doc_text(docs), width, percent
         self.spark = docs.sparkSession
-        buckets = power_of_two(plan_bytes(self.docs) / (8 << 20), 16, 1 << 14)
-        found = stored(self.docs.mapInArrow(_measure(width, buckets), "doc_id long, n long, nid long, bucket int, grams binary, counts binary"), "measured")
-        self.rows = found.where("bucket is null").select("doc_id", "n", "nid")
+        self.buckets = power_of_two(plan_bytes(self.docs) / (8 << 20), 16, 1 << 14)
+        found = stored(self.docs.mapInArrow(_measure(width, self.buckets), "doc_id long, n long, nid long, bucket int, grams binary, counts binary"), "measured")
+        self.rows = stored(found.where("bucket is null").select("doc_id", "n", "nid"), "rows")
         self.frequent = frequent_grams(found.where("bucket is not null").select("bucket", "grams", "counts"))
-        self.postings = self._postings()
+        discard(found)
+        self._post()
         self._sets: DataFrame | None = None
 
-    def _postings(self) -> DataFrame:
-        """(sig, nid, n) of signatures that at least two classes have."""
+    def _post(self) -> None:
+        """postings: (sig, nid, n) of signatures that came at least twice; cells: (nid, cells) of their classes.
+
+        Signatures are counted like n-grams. Where those that came twice fit the
+        broadcast bound, the others are left out on reading; else by a join.
+        """
         shared = self.spark.sparkContext.broadcast(self.frequent)
-        rows = stored(self.docs.mapInArrow(_index(self.width, self.percent, shared), "sig long, nid long, n int"), "index")
-        several = rows.groupBy("sig").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo <> hi").select("sig")
-        return stored(rows.join(several, "sig", "left_semi").distinct(), "postings")
+        index = stored(self.docs.mapInArrow(_index(self.width, self.percent, shared), "nid long, n int, sigs binary, cells binary"), "index")
+        parts = index.select("sigs").mapInArrow(_cut(self.buckets), "bucket int, grams binary, counts binary")
+        several = stored(parts.groupBy("bucket").applyInArrow(_counted(2), "gram long, df long").select(F.col("gram").alias("sig")), "several")
+        schema = "sig long, nid long, n int, cells binary"
+        if several.count() <= BROADCAST_BYTES // 8:
+            sigs = np.sort(several.toArrow().column("sig").to_numpy().view(np.uint64))
+            posted = stored(index.mapInArrow(_posted(self.spark.sparkContext.broadcast(sigs)), schema), "posted")
+            rows = posted.where("sig is not null")
+        else:
+            posted = stored(index.mapInArrow(_posted(None), schema), "posted")
+            rows = posted.where("sig is not null").join(several, "sig", "left_semi")
+        self.postings = stored(rows.select("sig", "nid", "n").distinct(), "postings")
+        self.cells = stored(posted.where("sig is null").groupBy("nid").agg(F.first("cells").alias("cells")), "cells")
+        discard(index)
+        discard(posted)
 
     def sets(self) -> DataFrame:
         """(nid, grams) of the classes with postings, from one document each."""
@@ -267,6 +337,9 @@ class NgramJaccard:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, common, similar) of candidate pairs of classes, on whole sets."""
+        cells = self.cells
+        left, right = cells.select(F.col("nid").alias("a"), F.col("cells").alias("x")), cells.select(F.col("nid").alias("b"), F.col("cells").alias("y"))
+        pairs = stored(pairs.join(left, "a").join(right, "b").mapInArrow(_can_be_similar(self.percent), "a long, b long"), "sifted")
         sets = self.sets()
         left, right = sets.select(F.col("nid").alias("a"), F.col("grams").alias("x")), sets.select(F.col("nid").alias("b"), F.col("grams").alias("y"))
         return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(self.percent), "a long, b long, common long, similar boolean"), "verified")
