@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once per application, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plexora_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp()) / "plexora.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(name))
+    sc._plexora_shipped = True
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -63,6 +79,7 @@ def power_of_two(x: float, least: int = 1, most: int = 1 << 20) -> int:
 
 def doc_text(docs: DataFrame) -> DataFrame:
     """The two columns that text operators read; null texts count as empty."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

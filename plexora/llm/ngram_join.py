@@ -38,8 +38,8 @@ from plexora.llm.graphs import components
 COUNTED = 0.30
 #: n-grams in at least this many documents are frequent.
 FREQUENT = 24
-#: Cells of the histogram by which pairs are sifted before their sets are compared.
-CELLS = 64
+#: Cells of the histograms by which pairs are sifted before their sets are compared.
+CELLS, COARSE = 512, 64
 #: n-grams of a size level per bucket of the frequent class.
 PER_BUCKET = 16
 
@@ -193,8 +193,16 @@ def frequent_grams(parts: DataFrame, most: int = BROADCAST_BYTES // 8) -> np.nda
 
 
 def histogram(grams: np.ndarray) -> bytes:
-    """How many n-grams of a set fall into each cell of their low bits."""
-    return np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes()
+    """How many n-grams of a set fall into each cell of their low bits, 255 standing for that and more."""
+    counts = np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def coarse(cells: bytes) -> bytes:
+    """The same with COARSE cells."""
+    fine = np.frombuffer(cells, dtype=np.uint8).astype(np.int64)
+    full = (fine == 255).reshape(-1, COARSE).any(0)
+    return np.where(full, 255, np.minimum(fine.reshape(-1, COARSE).sum(0), 255)).astype(np.uint8).tobytes()
 
 
 def _index(width: int, percent: int, shared):
@@ -225,7 +233,8 @@ def _cut(buckets: int):
 
 
 def _posted(shared):
-    """(sig, nid, n, cells): a row per signature that others have too, and per document with any of them its cells (sig null)."""
+    """(sig, nid, n, coarse, cells): a row per signature that others have too, and per document with any of them its cells (sig null)."""
+    names = ["sig", "nid", "n", "coarse", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = None if shared is None else shared.value
@@ -239,8 +248,9 @@ def _posted(shared):
             some = pa.array(np.unique(row))
             own = pa.array(row)
             nid, n, cells = (column_of(batch, c) for c in ("nid", "n", "cells"))
-            yield pa.RecordBatch.from_arrays([_i64(flat), nid.take(own), n.take(own), pa.nulls(len(row), pa.binary())], ["sig", "nid", "n", "cells"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), nid.take(some), n.take(some), cells.take(some)], ["sig", "nid", "n", "cells"])
+            cells = cells.take(some)
+            yield pa.RecordBatch.from_arrays([_i64(flat), nid.take(own), n.take(own), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), nid.take(some), n.take(some), pa.array([coarse(x) for x in cells.to_pylist()], pa.binary()), cells], names)
 
     return run
 
@@ -250,10 +260,11 @@ def _can_be_similar(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), dtype=np.uint32).reshape(-1, CELLS).astype(np.int64) for c in ("x", "y"))
-            most = np.minimum(x, y).sum(1)
-            keep = pa.array(100 * most >= percent * (x.sum(1) + y.sum(1) - most))
-            yield batch.filter(keep).select(["a", "b"])
+            x, y = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            fits = 100 * most >= percent * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64) - most)
+            keep = fits | (x == 255).any(1) | (y == 255).any(1)  # a full cell says nothing
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     return run
 
@@ -302,7 +313,6 @@ class NgramJaccard:
         self.frequent = frequent_grams(found.where("bucket is not null").select("bucket", "grams", "counts"))
         discard(found)
         self._post()
-        self._sets: DataFrame | None = None
 
     def _post(self) -> None:
         """postings: (sig, nid, n) of signatures that came at least twice; cells: (nid, cells) of their classes.
@@ -314,7 +324,7 @@ class NgramJaccard:
         index = stored(self.docs.mapInArrow(_index(self.width, self.percent, shared), "nid long, n int, sigs binary, cells binary"), "index")
         parts = index.select("sigs").mapInArrow(_cut(self.buckets), "bucket int, grams binary, counts binary")
         several = stored(parts.groupBy("bucket").applyInArrow(_counted(2), "gram long, df long").select(F.col("gram").alias("sig")), "several")
-        schema = "sig long, nid long, n int, cells binary"
+        schema = "sig long, nid long, n int, coarse binary, cells binary"
         if several.count() <= BROADCAST_BYTES // 8:
             sigs = np.sort(several.toArrow().column("sig").to_numpy().view(np.uint64))
             posted = stored(index.mapInArrow(_posted(self.spark.sparkContext.broadcast(sigs)), schema), "posted")
@@ -323,26 +333,31 @@ class NgramJaccard:
             posted = stored(index.mapInArrow(_posted(None), schema), "posted")
             rows = posted.where("sig is not null").join(several, "sig", "left_semi")
         self.postings = stored(rows.select("sig", "nid", "n").distinct(), "postings")
-        self.cells = stored(posted.where("sig is null").groupBy("nid").agg(F.first("cells").alias("cells")), "cells")
+        self.cells = stored(posted.where("sig is null").groupBy("nid").agg(F.first("coarse").alias("coarse"), F.first("cells").alias("cells")), "cells")
         discard(index)
         discard(posted)
 
-    def sets(self) -> DataFrame:
-        """(nid, grams) of the classes with postings, from one document each."""
-        if self._sets is None:
-            ids = self.rows.join(self.postings.select("nid").distinct(), "nid", "left_semi").groupBy("nid").agg(F.min("doc_id").alias("doc_id"))
-            texts = self.docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-            self._sets = stored(texts.mapInArrow(_sets(self.width), "nid long, grams binary"), "sets")
-        return self._sets
+    def sets(self, nids: DataFrame) -> DataFrame:
+        """(nid, grams) of these classes, from one document each."""
+        ids = self.rows.join(nids, "nid", "left_semi").groupBy("nid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        ids = stored(ids, "wanted")
+        if ids.count() <= BROADCAST_BYTES // 8:
+            ids = F.broadcast(ids)
+        return stored(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.width), "nid long, grams binary"), "sets")
+
+    def _sifted(self, pairs: DataFrame, kind: str) -> DataFrame:
+        cells = self.cells.select("nid", kind)
+        left, right = cells.toDF("a", "x"), cells.toDF("b", "y")
+        return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_can_be_similar(self.percent), "a long, b long"), "sifted")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, similar) of candidate pairs of classes, on whole sets."""
-        cells = self.cells
-        left, right = cells.select(F.col("nid").alias("a"), F.col("cells").alias("x")), cells.select(F.col("nid").alias("b"), F.col("cells").alias("y"))
-        pairs = stored(pairs.join(left, "a").join(right, "b").mapInArrow(_can_be_similar(self.percent), "a long, b long"), "sifted")
-        sets = self.sets()
-        left, right = sets.select(F.col("nid").alias("a"), F.col("grams").alias("x")), sets.select(F.col("nid").alias("b"), F.col("grams").alias("y"))
-        return stored(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(self.percent), "a long, b long, common long, similar boolean"), "verified")
+        """(a, b, common, similar) of candidate pairs of classes: sifted twice, then compared on whole sets."""
+        pairs = self._sifted(self._sifted(pairs, "coarse"), "cells")
+        sets = self.sets(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct())
+        left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+        out = stored(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(self.percent), "a long, b long, common long, similar boolean"), "verified")
+        discard(sets)
+        return out
 
     def _fits(self, n: str, m: str):
         """Sizes that can be similar."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import column_of, slices, stored, texts_of
+from plexora.llm.common import column_of, ship, slices, stored, texts_of
 from plexora.llm.textstats import TextStats
 
 UNIT = 1024
@@ -135,6 +135,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) if name in docs.columns else F.lit("").alias(name)
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text("lang"), text("source"), text("text"))
     return rows.mapInArrow(_statistics, SCHEMA)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import column_of
+from plexora.llm.common import column_of, ship
 
 #: Terms that reject alone, and terms that reject when several different ones are met.
 STRICT = tuple("porn xxx xvideos hentai milf camgirl escort bestiality casino sportsbook warez keygen malware phishing".split())
@@ -114,5 +114,6 @@ def url_filter(pages: DataFrame, policy: UrlPolicy) -> DataFrame:
     its text is still searched for terms. Equal rows are judged each; only page_id
     and url are read.
     """
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     return rows.mapInArrow(_judge(policy), "page_id long, host string, path string, rule string, verdict string, strict_terms array<string>, soft_terms array<string>")

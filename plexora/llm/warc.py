@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import column_of, new_folder, slices, stored
+from plexora.llm.common import column_of, new_folder, ship, slices, stored
 from plexora.llm.files import read_files, write_file
 
 #: Payload bytes of an archive before the next is begun.
@@ -100,6 +100,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
     smallest page_id are responses, the others revisits of it. A null html is an
     empty payload. Rows with a null page_id are responses.
     """
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sums = rows.mapInArrow(_payloads, "page_id long, payload_bytes long, payload_digest string")
     # A payload of a third of all pages is one row per task after the partial minimum.
