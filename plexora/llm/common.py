@@ -108,7 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 class HashCache(dict):
     """bytes -> 64-bit hash, filled on use and emptied beyond a bound, so that its memory is bounded."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         import xxhash
 
         super().__init__()
@@ -129,7 +129,7 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about most_bytes of text, one row at least: Python memory stays bounded."""
     lengths = batch.column(batch.schema.get_field_index(name))
     import pyarrow.compute as pc

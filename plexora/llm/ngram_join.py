@@ -40,6 +40,8 @@ COUNTED = 0.30
 FREQUENT = 24
 #: Cells of the histograms by which pairs are sifted before their sets are compared.
 CELLS, COARSE = 512, 64
+#: Lists of up to SHORT classes are paired by a join, longer ones in chunks of about CHUNK.
+SHORT, CHUNK = 12, 256
 #: n-grams of a size level per bucket of the frequent class.
 PER_BUCKET = 16
 
@@ -269,6 +271,45 @@ def _can_be_similar(percent: int):
     return run
 
 
+def _chunk_pairs(percent: int):
+    """(a, b) of chunks x and y (or within x where y is null) that are of different components and can be similar."""
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, ...]:
+        rows = column.flatten()
+        nid, n, comp = (rows.field(k).to_numpy().astype(np.int64) for k in range(3))
+        cells = np.frombuffer(b"".join(rows.field(3).to_pylist()), dtype=np.uint8).reshape(-1, COARSE)
+        sizes = np.array([0 if v is None else v for v in column.value_lengths().to_pylist()])
+        return nid, n, comp, cells, np.r_[0, np.cumsum(sizes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nid, n, comp, cells, at = flat(column_of(batch, "x"))
+            nid2, n2, comp2, cells2, at2 = flat(column_of(batch, "y"))
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k in range(batch.num_rows):
+                s = slice(at[k], at[k + 1])
+                x = (nid[s], n[s], comp[s], cells[s])
+                within = at2[k] == at2[k + 1]
+                t = slice(at2[k], at2[k + 1])
+                y = x if within else (nid2[t], n2[t], comp2[t], cells2[t])
+                for i in range(len(x[0])):
+                    ok = (y[2] != x[2][i]) & (100 * np.minimum(y[1], x[1][i]) >= percent * np.maximum(y[1], x[1][i]))
+                    if within:
+                        ok[: i + 1] = False
+                    j = np.flatnonzero(ok)
+                    if not len(j):
+                        continue
+                    own, others = x[3][i], y[3][j]
+                    most = np.minimum(others, own).sum(1, dtype=np.int64)
+                    fits = 100 * most >= percent * (x[1][i] + y[1][j] - most)
+                    j = j[fits | (own == 255).any() | (others == 255).any(1)]
+                    left.append(np.minimum(y[0][j], x[0][i]))
+                    right.append(np.maximum(y[0][j], x[0][i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return run
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -375,8 +416,7 @@ class NgramJaccard:
 
         First each list's most connected class is compared with the rest of its
         list. What that joins is settled: only pairs from different components are
-        candidates after it, and the largest component of a list is never paired
-        with itself. A group of near copies so costs about its size, not its square.
+        candidates after it, and no component is paired with itself. A group of near copies so costs about its size, not its square.
         """
         p = self.postings
         size = p.groupBy("sig").agg(F.count("*").alias("k"))
@@ -388,15 +428,29 @@ class NgramJaccard:
         first = self.verified(star)
         comps = components(first.where("similar"))
         q = p.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("sig", "nid", "n", F.coalesce("comp", "nid").alias("comp"))
-        per = q.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("parts"))
-        q = stored(q.join(per.where("parts > 1").select("sig", "main"), "sig"), "open")
-        a = q.where("comp <> main").select("sig", F.col("nid").alias("u"), "n", F.col("comp").alias("cu"))
-        b = q.select("sig", F.col("nid").alias("v"), F.col("n").alias("m"), F.col("comp").alias("cv"), "main")
-        rest = a.join(b, "sig").where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))) & self._fits("n", "m"))
-        rest = rest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        per = q.groupBy("sig").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig", "k")
+        q = stored(q.join(per, "sig"), "open")
+        rest = self._short_lists(q.where(F.col("k") <= SHORT)).union(self._long_lists(q.where(F.col("k") > SHORT)))
+        rest = rest.distinct().join(star, ["a", "b"], "left_anti")
         second = self.verified(stored(rest, "rest"))
         return components(first.where("similar").union(second.where("similar")))
 
+    def _short_lists(self, q: DataFrame) -> DataFrame:
+        """Pairs (a, b) from different components of lists of at most SHORT classes."""
+        b = q.select("sig", F.col("nid").alias("v"), F.col("n").alias("m"), F.col("comp").alias("cv"))
+        pairs = q.join(b, "sig").where((F.col("nid") < F.col("v")) & (F.col("comp") != F.col("cv")) & self._fits("n", "m"))
+        return pairs.select(F.col("nid").alias("a"), F.col("v").alias("b"))
+
+    def _long_lists(self, q: DataFrame) -> DataFrame:
+        """The same of longer lists: cut into chunks by a hash, chunk against chunk, each sifted as a whole, so that only pairs that can be similar become rows."""
+        chunks = F.ceil(F.col("k") / CHUNK).cast("long")
+        q = q.join(self.cells.select("nid", "coarse"), "nid").withColumn("chunk", F.pmod(F.xxhash64("nid"), chunks))
+        q = q.groupBy("sig", "chunk").agg(F.first(chunks).alias("chunks"), F.collect_list(F.struct("nid", "n", "comp", "coarse")).alias("x"))  # about CHUNK rows
+        q = stored(q, "chunks")
+        other = q.where("chunks > 1").select("sig", F.col("chunk").alias("c"), F.col("x").alias("y"))
+        both = q.select("x", F.lit(None).cast(q.schema["x"].dataType).alias("y")).union(q.where("chunks > 1").join(other, "sig").where("chunk < c").select("x", "y"))
+        return both.mapInArrow(_chunk_pairs(self.percent), "a long, b long")
+
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, class_id, component_id) of every row.
 
