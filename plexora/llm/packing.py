@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexora.llm.common import column_of, doc_text, slices, stored, texts_of
-from plexora.llm.tokens import WordTokenizer
+from plexora.llm.tokens import word_tokenizer
 
 
 class Bins:
@@ -122,7 +122,7 @@ NAMES = ["part", "doc_id", "piece", "start", "length", "rank", "ids_crc32"]
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = WordTokenizer(path), TaskContext.get().partitionId()
+        tokenizer, part = word_tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype=np.uint32)
         for whole in batches:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,8 +24,10 @@ class WordTokenizer:
     white space or an end, and texts with special strings, are encoded whole.
     """
 
-    #: Words that are remembered, about 100 bytes each.
-    MOST = 400_000
+    #: Words that are remembered, about 200 bytes each.
+    MOST = 1_000_000
+    #: Marks that are a token run of their own after a letter.
+    MARKS = ".,"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,20 +35,38 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lower = "Lowercase" in (repr(self.tokenizer.normalizer) if self.tokenizer.normalizer else "")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.mark = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        data = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum())).tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _plain(self, word: str) -> str:
+        """A word with the same ids: where the vocabulary lower-cases, ASCII words are looked up in lower case."""
+        return word.lower() if self.lower and word.isascii() else word
 
     def _learn(self, known: dict[str, bytes], words: set[str], blank: str) -> dict[str, bytes]:
-        """What is needed now; known keeps it as far as there is room."""
+        """What is needed now; known keeps it as far as there is room. A letter word with a mark behind it is that word and the mark."""
         new = [w for w in words if w not in known]
-        found = dict(zip(new, self._encode([blank + w for w in new]), strict=True)) if new else {}
+        base = {w: self._plain(w[:-1] if w[-1:] in self.mark and w[:-1].isalpha() else w) for w in new}
+        todo = [w for w in set(base.values()) if w not in known]
+        found = dict(zip(todo, self._encode([blank + w for w in todo]), strict=True))
+        for w, stem in base.items():
+            ids = known.get(stem)
+            ids = found[stem] if ids is None else ids
+            found[w] = ids + self.mark[w[-1]] if w[-1:] in self.mark and w[:-1].isalpha() else ids
         if len(known) + len(found) <= self.MOST:
             known.update(found)
             return known
-        return {w: known.get(w) or found.get(w, b"") for w in words}
+        return {w: found[w] if w in found else known[w] for w in words}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes] = [b""] * len(texts)
@@ -64,6 +85,12 @@ class WordTokenizer:
         return [np.frombuffer(x, dtype=np.uint32) for x in out]
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per worker process and path, so that what a task has learned serves the next."""
+    return WordTokenizer(path)
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
