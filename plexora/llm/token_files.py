@@ -29,26 +29,49 @@ from pyspark.sql import functions as F
 
 from plexora.llm.common import column_of, doc_text, new_folder, plan_bytes, slices, stored, texts_of
 from plexora.llm.files import read_files, write_file
-from plexora.llm.tokens import WordTokenizer
+from plexora.llm.tokens import word_tokenizer
 
 MAGIC = b"PLXRPAIR"
 #: Ids of a shard; rounds of replacement, pairs of a round, and the least count of a replaced pair.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 2_000_000, 4, 4096, 8
+SHARD_IDS, ROUNDS, PAIRS, LEAST = 2_000_000, 3, 8192, 8
 
 
-def frequent_pairs(ids: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Keys (a << 32 | b) of the most frequent adjacent pairs, in falling count.
+def _pairs_of(seq: np.ndarray, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (a << 32 | b) of adjacent pairs, and their cells of a hash table; pairs that begin with keep are in cell 0."""
+    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    cells = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    if keep is not None:
+        cells[seq[:-1] == keep] = 0
+    return keys, cells
 
-    Counts of a hash table of the pairs are upper bounds, so only pairs in full
-    cells are counted one by one.
+
+def replaced_pairs(seq: np.ndarray, most: int, least: int, keep: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, positions, number of the pair at each): the most frequent adjacent pairs, and where they stand.
+
+    Pairs are counted in the cells of a hash table. Of each of the fullest cells the
+    pair that stands there last is taken, and its own count decides.
     """
-    keys = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:]
-    cell = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    counts = np.bincount(cell, minlength=1 << 20)
+    keys, cells = _pairs_of(seq, keep)
+    counts = np.bincount(cells, minlength=1 << 20)
+    counts[0] = 0
     floor = max(least, int(np.partition(counts, -most)[-most]))
-    pairs, n = np.unique(keys[counts[cell] >= floor], return_counts=True)
-    pairs, n = pairs[n >= least], n[n >= least]
-    return pairs[np.lexsort((pairs, -n))][:most]
+    full = np.flatnonzero(counts >= floor)
+    if not len(full):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    number = np.full(1 << 20, -1, dtype=np.int32)
+    number[full] = np.arange(len(full))
+    at = np.flatnonzero(number[cells] >= 0)
+    own, pair = number[cells[at]], np.zeros(len(full), dtype=np.uint64)
+    pair[own] = keys[at]
+    same = pair[own] == keys[at]
+    at, own = at[same], own[same]
+    n = np.bincount(own, minlength=len(full))
+    rank = np.lexsort((pair, -n))
+    rank = rank[n[rank] >= least][:most]
+    order = np.full(len(full), -1, dtype=np.int64)
+    order[rank] = np.arange(len(rank))
+    used = order[own] >= 0
+    return pair[rank], at[used], order[own[used]]
 
 
 def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -57,28 +80,19 @@ def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.nda
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        pairs = frequent_pairs(seq, PAIRS, LEAST)
-        if keep is not None:
-            pairs = pairs[(pairs >> np.uint64(32)) != np.uint64(keep)]
+        pairs, pos, number = replaced_pairs(seq, PAIRS, LEAST, keep)
         if not len(pairs):
             break
         first = base + sum(map(len, rules))
-        order = np.argsort(pairs)
-        ranked = pairs[order]
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        at = np.searchsorted(ranked, keys)
-        at[at == len(ranked)] = 0
-        hit = ranked[at] == keys
         # Of overlapping hits every other one is taken, counted from the first of the run.
-        pos = np.flatnonzero(hit)
-        new_run = np.r_[True, np.diff(pos) > 1] if len(pos) else np.empty(0, bool)
-        start = np.maximum.accumulate(np.where(new_run, pos, 0)) if len(pos) else pos
-        pos = pos[(pos - start) % 2 == 0]
-        symbol = (first + order[at[pos]]).astype(np.uint32)
+        new_run = np.r_[True, np.diff(pos) > 1]
+        start = np.maximum.accumulate(np.where(new_run, pos, 0))
+        taken = (pos - start) % 2 == 0
+        pos, number = pos[taken], number[taken]
         keep_mask = np.ones(len(seq), dtype=bool)
         keep_mask[pos + 1] = False
         seq = seq.copy()
-        seq[pos] = symbol
+        seq[pos] = (first + number).astype(np.uint32)
         seq = seq[keep_mask]
         rules.append(np.column_stack([(pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)]))
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
@@ -157,7 +171,7 @@ class Shard:
 
 def _write(tokenizer: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = WordTokenizer(tokenizer), TaskContext.get().partitionId()
+        encode, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
         base = encode.tokenizer.get_vocab_size(with_added_tokens=True)
         end = np.array([end_id], dtype=np.uint32)
         doc_ids: list[int] = []
