@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexora.llm import toxicity as toxic
-from plexora.llm.common import stored
+from plexora.llm.common import rows_with, stored
 from plexora.llm.decontaminate import decontaminate
 from plexora.llm.ngram_join import ngram_jaccard
 from plexora.llm.packing import pack
@@ -18,29 +18,29 @@ from plexora.llm.tokens import public_path
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return rows_with(docs, ids, "doc_id")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, stored(quality_rules(docs).where("kept"), "kept"))
+    return _only(docs, quality_rules(docs).where("kept"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model is learned from the labelled rows among all documents; every document of this stage is judged."""
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxic.fit(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, stored(toxic.toxicity(docs, model).where("score < 0.7"), "clean"))
+    return _only(docs, toxic.toxicity(docs, model).where("score < 0.7"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked at Jaccard 0.8 on five-word shingles, the smallest doc_id stays."""
     groups = ngram_jaccard(docs, 5, 80)
-    return _only(docs, stored(groups.where("doc_id = component_id"), "representatives"))
+    return _only(docs, groups.where("doc_id = component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, stored(found.where(~F.col("contaminated")), "untouched"))
+    return _only(docs, found.where(~F.col("contaminated")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,14 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_with(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among the distinct ids. Ids under the broadcast bound are broadcast, so that no text is moved; others are joined."""
+    ids = stored(ids.select(key).distinct(), "ids")
+    if ids.count() <= BROADCAST_BYTES // 8:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_semi").select(df.columns)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing will read again."""
     sc = df.sparkSession.sparkContext

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import BROADCAST_BYTES, HashCache, column_of, discard, doc_text, mix64, plan_bytes, power_of_two, slices, stored, texts_of
+from plexora.llm.common import BROADCAST_BYTES, HashCache, column_of, discard, doc_text, mix64, plan_bytes, power_of_two, rows_with, slices, stored, texts_of
 from plexora.llm.graphs import components
 
 #: n-grams whose hash lies in this share of the hash range are counted; a prefix lies there unless over half of a document is frequent.
@@ -277,32 +277,36 @@ def _chunk_pairs(percent: int):
     def flat(column: pa.Array) -> tuple[np.ndarray, ...]:
         rows = column.flatten()
         nid, n, comp = (rows.field(k).to_numpy().astype(np.int64) for k in range(3))
-        cells = np.frombuffer(b"".join(rows.field(3).to_pylist()), dtype=np.uint8).reshape(-1, COARSE)
+        cells = np.frombuffer(b"".join(rows.field(3).to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
         sizes = np.array([0 if v is None else v for v in column.value_lengths().to_pylist()])
-        return nid, n, comp, cells, np.r_[0, np.cumsum(sizes)]
+        few = np.minimum(cells.reshape(-1, CELLS // COARSE, COARSE).sum(1, dtype=np.int64), 255).astype(np.uint8)
+        return nid, n, comp, few, cells, np.r_[0, np.cumsum(sizes)]
+
+    def possible(n: int, own: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        most = np.minimum(others, own).sum(1, dtype=np.int64)
+        return (100 * most >= percent * (n + sizes - most)) | (own == 255).any() | (others == 255).any(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nid, n, comp, cells, at = flat(column_of(batch, "x"))
-            nid2, n2, comp2, cells2, at2 = flat(column_of(batch, "y"))
+            *xs, at = flat(column_of(batch, "x"))
+            *ys, at2 = flat(column_of(batch, "y"))
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for k in range(batch.num_rows):
                 s = slice(at[k], at[k + 1])
-                x = (nid[s], n[s], comp[s], cells[s])
+                x = [c[s] for c in xs]
                 within = at2[k] == at2[k + 1]
                 t = slice(at2[k], at2[k + 1])
-                y = x if within else (nid2[t], n2[t], comp2[t], cells2[t])
+                y = x if within else [c[t] for c in ys]
                 for i in range(len(x[0])):
                     ok = (y[2] != x[2][i]) & (100 * np.minimum(y[1], x[1][i]) >= percent * np.maximum(y[1], x[1][i]))
                     if within:
                         ok[: i + 1] = False
                     j = np.flatnonzero(ok)
+                    for kind in (3, 4):  # the coarse cells, then the fine ones of what is left
+                        if len(j):
+                            j = j[possible(int(x[1][i]), x[kind][i], y[1][j], y[kind][j])]
                     if not len(j):
                         continue
-                    own, others = x[3][i], y[3][j]
-                    most = np.minimum(others, own).sum(1, dtype=np.int64)
-                    fits = 100 * most >= percent * (x[1][i] + y[1][j] - most)
-                    j = j[fits | (own == 255).any() | (others == 255).any(1)]
                     left.append(np.minimum(y[0][j], x[0][i]))
                     right.append(np.maximum(y[0][j], x[0][i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
@@ -380,11 +384,8 @@ class NgramJaccard:
 
     def sets(self, nids: DataFrame) -> DataFrame:
         """(nid, grams) of these classes, from one document each."""
-        ids = self.rows.join(nids, "nid", "left_semi").groupBy("nid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        ids = stored(ids, "wanted")
-        if ids.count() <= BROADCAST_BYTES // 8:
-            ids = F.broadcast(ids)
-        return stored(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.width), "nid long, grams binary"), "sets")
+        ids = self.rows.join(nids, "nid", "left_semi").groupBy("nid").agg(F.min("doc_id").alias("doc_id"))
+        return stored(rows_with(self.docs, ids, "doc_id").mapInArrow(_sets(self.width), "nid long, grams binary"), "sets")
 
     def _sifted(self, pairs: DataFrame, kind: str) -> DataFrame:
         cells = self.cells.select("nid", kind)
@@ -444,8 +445,8 @@ class NgramJaccard:
     def _long_lists(self, q: DataFrame) -> DataFrame:
         """The same of longer lists: cut into chunks by a hash, chunk against chunk, each sifted as a whole, so that only pairs that can be similar become rows."""
         chunks = F.ceil(F.col("k") / CHUNK).cast("long")
-        q = q.join(self.cells.select("nid", "coarse"), "nid").withColumn("chunk", F.pmod(F.xxhash64("nid"), chunks))
-        q = q.groupBy("sig", "chunk").agg(F.first(chunks).alias("chunks"), F.collect_list(F.struct("nid", "n", "comp", "coarse")).alias("x"))  # about CHUNK rows
+        q = q.join(self.cells.select("nid", "cells"), "nid").withColumn("chunk", F.pmod(F.xxhash64("nid"), chunks))
+        q = q.groupBy("sig", "chunk").agg(F.first(chunks).alias("chunks"), F.collect_list(F.struct("nid", "n", "comp", "cells")).alias("x"))  # about CHUNK rows
         q = stored(q, "chunks")
         other = q.where("chunks > 1").select("sig", F.col("chunk").alias("c"), F.col("x").alias("y"))
         both = q.select("x", F.lit(None).cast(q.schema["x"].dataType).alias("y")).union(q.where("chunks > 1").join(other, "sig").where("chunk < c").select("x", "y"))
