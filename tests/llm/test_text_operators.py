@@ -272,7 +272,7 @@ def test_toxicity_learns_terms_and_finds_misspelled_ones(spark):
     model = toxicity.fit(docs, labels, "y")
     got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
     assert sum((got[k] >= 0.7) == (k % 4 == 0) for k in range(600)) >= 594
-    more = toxicity.toxicity(documents(spark, ["you krumpat, so zzulgaar " + "abc " * 20, None, "", "clean text"]), model).collect()
+    more = toxicity.toxicity(documents(spark, ["you qrumpot, so xzulgar " + "abc " * 20, None, "", "clean text"]), model).collect()
     assert more[0].terms == ["krumpot", "zzulgar"] and more[1].score == more[2].score < 0.7
     assert toxicity.toxicity(documents(spark, []), model).count() == 0 and toxicity.toxicity(odd(spark), model).count() == 9
     assert toxicity.fit(docs, labels.limit(0), "y").words == {}
@@ -326,7 +326,7 @@ def test_warc_round_trip(spark):
     html = [None, "", "<p>a</p>", "<p>a</p>", "é" * 5000, "x\r\n\r\nWARC/1.1\r\n", "<p>a</p>"]
     pages = spark.createDataFrame([(k + 10, None if k == 2 else f"http://x/{k}", h, "t") for k, h in enumerate(html)], "page_id long, url string, html string, type string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc_round_trip(pages).collect()}
-    assert got == {10: (0, "response", None), 11: (0, "revisit", 10), 12: (8, "response", None), 13: (8, "revisit", 12), 14: (10000, "response", None), 15: (16, "response", None), 16: (8, "revisit", 12)}
+    assert got == {10: (0, "response", None), 11: (0, "revisit", 10), 12: (8, "response", None), 13: (8, "revisit", 12), 14: (10000, "response", None), 15: (15, "response", None), 16: (8, "revisit", 12)}
     assert {r.page_id for r in warc_round_trip(pages, 9).where("record_type = 'response'").collect()} == set(range(10, 17))
     assert warc_round_trip(pages.limit(0)).count() == 0
 
