@@ -25,7 +25,7 @@ class WordTokenizer:
     """
 
     #: Words that are remembered, about 200 bytes each.
-    MOST = 1_000_000
+    MOST = 1_800_000
     #: Marks that are a token run of their own after a letter.
     MARKS = ".,"
 
