@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -119,9 +120,23 @@ def _digest_column():
     return of("html")
 
 
+def unzipped(data: bytes) -> bytes:
+    """The contents of all gzip members. Each is fed in small pieces, so that what follows it isn't copied once a member."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        member, step = zlib.decompressobj(wbits=31), 2048
+        while not member.eof and at < len(view):
+            out.append(member.decompress(view[at : at + step]))
+            at, step = at + step, 2 * step
+        if not member.eof:
+            raise EOFError("the archive ends within a gzip member")
+        at = min(at, len(view)) - len(member.unused_data)
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record of an archive."""
-    raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    raw = unzipped(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(raw):
         end = raw.find(b"\r\n\r\n", at)
@@ -185,7 +200,7 @@ def assemble(records: DataFrame) -> DataFrame:
     named = own.select(F.col("record_id").alias("to"), F.col("concurrent_to").alias("next")).where("next is not null").distinct()
     held = own.join(named, own["concurrent_to"] == named["to"], "left")
     key = F.when(F.col("next") == F.col("record_id"), F.least("record_id", "concurrent_to")).otherwise(F.coalesce("next", "concurrent_to", "record_id"))
-    row = F.struct(*[c for c in own.columns if c != "headers"], "headers")
+    row = F.struct(*own.columns)
 
     def of(*kinds: str):  # noqa: ANN202
         return F.min_by(F.when(F.col("type").isin(*kinds), row), F.when(F.col("type").isin(*kinds), F.col("record_id")))
@@ -205,7 +220,8 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     if write_warc(pages, folder, least_bytes).isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
     page = F.regexp_extract(F.decode("metadata.block", "UTF-8"), r"page-id: (-?\d+)", 1)
-    found = assemble(read_records(spark, folder, blocks=False)).select(
+    records = stored(read_records(spark, folder, blocks=False).drop("headers"), "records")  # assembly reads them twice
+    found = assemble(records).select(
         F.when(page != "", page.cast("long")).alias("page_id"), "capture.record_id", "capture.payload_bytes", "capture.payload_digest", F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("names"), F.col("capture.target_uri").alias("url")
     )
     found = stored(found, "captures")
