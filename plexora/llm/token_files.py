@@ -54,14 +54,16 @@ def replaced_pairs(seq: np.ndarray, most: int, least: int, keep: int | None) ->
     keys, cells = _pairs_of(seq, keep)
     counts = np.bincount(cells, minlength=1 << 20)
     counts[0] = 0
-    floor = max(least, int(np.partition(counts, -most)[-most]))
-    full = np.flatnonzero(counts >= floor)
+    full = np.flatnonzero(counts >= least)
+    if len(full) > most:
+        full = full[counts[full] >= np.partition(counts[full], -most)[-most]]
     if not len(full):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     number = np.full(1 << 20, -1, dtype=np.int32)
     number[full] = np.arange(len(full))
-    at = np.flatnonzero(number[cells] >= 0)
-    own, pair = number[cells[at]], np.zeros(len(full), dtype=np.uint64)
+    own = number[cells]
+    at = np.flatnonzero(own >= 0)
+    own, pair = own[at], np.zeros(len(full), dtype=np.uint64)
     pair[own] = keys[at]
     same = pair[own] == keys[at]
     at, own = at[same], own[same]
