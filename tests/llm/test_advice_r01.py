@@ -29,4 +29,24 @@ def test_license_notice_in_a_line_with_other_text(spark):
 def test_every_license_template_is_found_in_long_lines():
     scanner = LicenseScanner(TEMPLATES)
     pad = "Some other words stand here and there. " * 40
-    assert [scanner(pad + t + " " + pad)[0] for t in TEMPLATES.values()] == list(TEMPLATES)
+    assert [[f[1] for f in scanner(pad + t + " " + pad)[1]] for t in TEMPLATES.values()] == [[k] for k in TEMPLATES]
+
+
+def test_license_notices_over_lines_and_more_than_one(spark):
+    grant, redistribution = TEMPLATES["MIT-grant"], TEMPLATES["BSD-2-Clause"]
+    texts = [
+        "Licensed under the Apache License,\nVersion 2.0.",
+        "/*\n * This work is licensed under the GNU General Public\n * License, version 3.\n */",
+        "# All rights\n# reserved.",
+        "\n".join("// " + w for w in grant.split()),
+        "dnl " + redistribution.replace(" are ", "\ndnl are "),
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
+        "This work is licensed under the GNU Affero General Public\nLicense, version 3.",
+        TEMPLATES["Apache-2.0-notice"].replace("you may", "\n   you may") + "\n\nLicensed under CC BY-\nNC 4.0.",
+        "This work is licensed under the GNU General Public License, version 4. See\nversion 3. of the text.",
+        "Licensed under the Apache License,\n\nVersion 2.0 of the page",
+    ]
+    want = [["Apache-2.0"], ["GPL-3.0"], ["Proprietary"], ["MIT-grant"], ["BSD-2-Clause"], ["Apache-2.0", "MIT"], ["AGPL-3.0"], ["Apache-2.0-notice", "CC-BY-NC-4.0"], [], []]
+    assert licenses(spark, texts) == want
+    got = license_scan(documents(spark, ["x\n\nReleased under the\nMIT License.\nA copyright line"])).first()
+    assert got.n_candidates == 2 and [(f.line, f.license) for f in got.findings] == [(2, "MIT"), (4, None)]
