@@ -32,56 +32,69 @@ from plexora.llm.files import read_files, write_file
 from plexora.llm.tokens import word_tokenizer
 
 MAGIC = b"PLXRPAIR"
-#: Ids of a shard; rounds of replacement, pairs of a round, and the least count of a replaced pair.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 2_000_000, 3, 8192, 8
+#: Ids of a shard; pairs of a round of replacement, and the least count of a replaced pair.
+SHARD_IDS, PAIRS, LEAST = 2_000_000, 8192, 8
+#: Cells that pairs are counted in.
+CELLS = 1 << 20
+
+
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
 
 
 def _pairs_of(seq: np.ndarray, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (a << 32 | b) of adjacent pairs, and their cells of a hash table; pairs that begin with keep are in cell 0."""
+    """Keys (a << 32 | b) of adjacent pairs, and their cells of a hash table; pairs that begin with keep are in the cell behind the others."""
     keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    cells = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    cells = _cells(keys)
     if keep is not None:
-        cells[seq[:-1] == keep] = 0
+        cells[seq[:-1] == keep] = CELLS
     return keys, cells
 
 
 def replaced_pairs(seq: np.ndarray, most: int, least: int, keep: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, positions, number of the pair at each): the most frequent adjacent pairs, and where they stand.
 
-    Pairs are counted in the cells of a hash table. Of each of the fullest cells the
-    pair that stands there last is taken, and its own count decides.
+    Pairs are counted in the cells of a hash table, and exactly in the fullest cells;
+    where those hold no pair that is frequent enough, in all cells that may hold one.
     """
     keys, cells = _pairs_of(seq, keep)
-    counts = np.bincount(cells, minlength=1 << 20)
-    counts[0] = 0
-    full = np.flatnonzero(counts >= least)
-    if len(full) > most:
-        full = full[counts[full] >= np.partition(counts[full], -most)[-most]]
-    if not len(full):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    number = np.full(1 << 20, -1, dtype=np.int32)
-    number[full] = np.arange(len(full))
-    own = number[cells]
-    at = np.flatnonzero(own >= 0)
-    own, pair = own[at], np.zeros(len(full), dtype=np.uint64)
-    pair[own] = keys[at]
-    same = pair[own] == keys[at]
-    at, own = at[same], own[same]
-    n = np.bincount(own, minlength=len(full))
-    rank = np.lexsort((pair, -n))
-    rank = rank[n[rank] >= least][:most]
-    order = np.full(len(full), -1, dtype=np.int64)
-    order[rank] = np.arange(len(rank))
-    used = order[own] >= 0
-    return pair[rank], at[used], order[own[used]]
+    counts = np.bincount(cells, minlength=CELLS + 1)
+    counts[CELLS] = 0
+    bounds = [least]
+    if np.count_nonzero(counts >= least) > most:
+        bounds.insert(0, int(np.partition(counts, -most)[-most]))
+    for bound in bounds:
+        # Sorted without their places, so that a shard's pairs are held once.
+        some = np.sort(keys[(counts >= bound)[cells]])
+        begin = np.flatnonzero(np.r_[len(some) > 0, some[1:] != some[:-1]])
+        n = np.diff(np.r_[begin, len(some)])
+        often = np.flatnonzero(n >= least)
+        pairs, n = some[begin[often]], n[often]
+        del some, begin, often
+        if len(pairs):
+            break
+    pairs = pairs[np.lexsort((pairs, -n))[:most]]
+    own = _cells(pairs)
+    number = np.full(len(cells), -1, dtype=np.int32)
+    table = np.empty(CELLS + 1, dtype=np.int32)
+    todo = np.arange(len(pairs), dtype=np.int32)
+    while len(todo):  # of pairs that share a cell, one at a time
+        of_cell, which = np.unique(own[todo], return_index=True)
+        table.fill(-1)
+        table[of_cell] = todo[which]
+        found = table[cells]
+        at = np.flatnonzero(found >= 0)
+        at = at[pairs[found[at]] == keys[at]]
+        number[at] = found[at]
+        todo = np.delete(todo, which)
+    at = np.flatnonzero(number >= 0)
+    return pairs, at, number[at]
 
 
 def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules[i] = (a, b) is what symbol base + i stands for. keep is an id that no pair begins with."""
     seq, rules = ids.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         pairs, pos, number = replaced_pairs(seq, PAIRS, LEAST, keep)
         if not len(pairs):
             break
@@ -91,6 +104,8 @@ def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.nda
         start = np.maximum.accumulate(np.where(new_run, pos, 0))
         taken = (pos - start) % 2 == 0
         pos, number = pos[taken], number[taken]
+        used, number = np.unique(number, return_inverse=True)  # without pairs that lost all their places to others
+        pairs = pairs[used]
         keep_mask = np.ones(len(seq), dtype=bool)
         keep_mask[pos + 1] = False
         seq = seq.copy()
