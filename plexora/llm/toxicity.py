@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from plexora.llm.common import column_of, doc_text, labelled_sample, slices, stored, texts_of
 from plexora.llm.ngram_join import Shingler
 
-#: Bounds of what is learned: sampled rows per label value, lexicon entries, terms with an automaton.
-PER_CLASS, MOST_ENTRIES, MOST_TERMS = 6000, 6000, 400
+#: Bounds of what is learned: sampled rows per label value, lexicon entries.
+PER_CLASS, MOST_ENTRIES = 6000, 6000
 #: Fewest toxic texts with an entry, and the least log ratio that is left when either count is moved by 1.5 deviations to its worse side.
 LEAST_TEXTS, LEAST_WEIGHT = 5, 2.0
 #: Lengths of word beginnings.
@@ -58,10 +58,10 @@ class TrieAutomaton:
 
     A state is a set of (trie node, edits so far); reading a letter moves it by
     match, substitution, insertion or deletion. States and moves are kept as they
-    appear, up to a bound.
+    appear, up to a bound of their (node, edits) pairs.
     """
 
-    MOST_STATES = 100_000
+    MOST_PAIRS = 500_000
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.next: list[dict[str, int]] = [{}]
@@ -82,6 +82,7 @@ class TrieAutomaton:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        self.pairs = 0
         self.start = self._state(self._closed({(0, 0)}))
 
     def _closed(self, state: set[tuple[int, int]]) -> frozenset:
@@ -102,6 +103,7 @@ class TrieAutomaton:
         if s not in self.ids:
             self.ids[s] = len(self.states)
             self.states.append(s)
+            self.pairs += len(s)
             self.moves.append({})
         return self.ids[s]
 
@@ -121,7 +123,7 @@ class TrieAutomaton:
 
     def find(self, word: str) -> list[tuple[str, int]]:
         """(term, edits) of the terms within their allowed edits, nearest first."""
-        if len(self.states) > self.MOST_STATES:
+        if self.pairs > self.MOST_PAIRS:
             self._reset()
         at = self.start
         for c in word:
@@ -148,8 +150,8 @@ class ToxicityModel:
     bias: float = -3.0
 
     def terms(self) -> dict[str, float]:
-        strong = sorted((w for w in self.words if w.isalpha() and self.words[w] >= 3), key=lambda w: (-self.words[w], w))
-        return {w: self.words[w] for w in strong[:MOST_TERMS]}
+        """All whole words, which are looked for with edits."""
+        return dict(sorted(self.words.items()))
 
 
 class Matcher:
@@ -159,7 +161,7 @@ class Matcher:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model, self.terms = model, model.terms()
-        self.automaton = TrieAutomaton(self.terms)
+        self.automaton = TrieAutomaton({w: x for w, x in self.terms.items() if allowed_edits(w)})  # of the others only exact forms count
         self.hits: list[tuple[str, float, bool]] = [("", 0.0, False)]
         self.cache: dict[str, int] = {}
 
@@ -310,9 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     sample = distinct_texts(labelled_sample(docs, labels, label, per_class))
     rest = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0
     model = learn_lexicon(sample.where(~rest))
-    # Words that clean texts of the lexicon's part use are no misspellings.
+    # Words that clean texts of the lexicon's part use are no misspellings; the sample bounds them.
     near = sample.where(~rest & (F.col("y") == 0)).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model)), "y int, x array<double>, near array<string>")
-    model.clean = frozenset(r["w"] for r in near.select(F.explode("near").alias("w")).distinct().orderBy("w").limit(100_000).collect())
+    model.clean = frozenset(r["w"] for r in near.select(F.explode("near").alias("w")).distinct().collect())
     rows = sample.where(rest).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model)), "y int, x array<double>, near array<string>").select("y", "x").toPandas()
     if rows["y"].nunique() < 2:
         return model
