@@ -5,7 +5,7 @@ and source, or the language, or all, whichever is the first with enough rows)
 location and scatter are the minimum-covariance-determinant estimate: starting
 from medians and quartile ranges, each concentration step keeps the share
 ``KEPT`` of the group's rows with the smallest distances and takes their mean
-and covariance. A row is rejected when its squared Mahalanobis distance exceeds
+and covariance, until an estimate comes again. A row is rejected when its squared Mahalanobis distance exceeds
 ``cutoff``.
 
 A step needs one pass over the small table of vectors: rows are counted and
@@ -18,6 +18,7 @@ in one task, never a group's rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,10 +33,10 @@ UNIT = 1024
 #: name -> the least standard deviation that is taken for it. A statistic that hardly varies must not make one stray character an outlier.
 FEATURES = {"x_length": 0.08, "x_symbols": 0.08, "x_lines": 0.20, "x_repeats": 0.12, "x_upper": 0.06, "x_marks": 0.06}
 P = len(FEATURES)
-#: Share of rows that the estimate is made of; steps; bins per doubling of the distance.
-KEPT, STEPS, BINS = 0.75, 4, 16
-#: Groups under these sizes take their language's estimate, or that of all rows; with fewer rows than LEAST in all there is no verdict.
-LEAST_SOURCE, LEAST_LANG, LEAST = 400, 200, 60
+#: Share of rows that the estimate is made of; bins per doubling of the distance.
+KEPT, BINS = 0.75, 16
+#: Rows that an estimate needs, ten a statistic: smaller groups take their language's estimate, or that of all rows; with fewer in all there is no verdict.
+LEAST = 10 * P
 
 
 def _chi2_below(x: float, p: int) -> float:
@@ -145,15 +146,23 @@ def base_failed(least_words: int = 50, repeat_percent: int = 50) -> Column:
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """(grp, mu, inv) per group of rows(grp, *FEATURES)."""
+    """(grp, mu, inv) per group of rows(grp, *FEATURES).
+
+    A group's steps end when an estimate comes again: it stands still, or, as bins
+    are kept whole, it is the first of a circle. Sums are exact, so this is exact too.
+    """
     quartiles = [F.expr(f"percentile({x}, array(0.25, 0.5, 0.75))").alias(f"q_{x}") for x in NAMES]  # of at most some thousand values
     estimate = stored(rows.groupBy("grp").agg(*quartiles).mapInPandas(lambda it: map(_start, it), ESTIMATE), "mcd")
     bin_of = F.floor(BINS * F.log2(_distance() + 2.0**-12)).cast("int")
     sums = [F.count("*").alias("k"), *(F.sum(x).alias(f"s_{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, j in PAIRS)]
-    for _ in range(STEPS):
-        bins = rows.join(estimate, "grp").groupBy("grp", bin_of.alias("bin")).agg(*sums)
-        estimate = stored(bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE), "mcd")
-    return estimate
+    seen, moving, still = estimate, estimate, []
+    while not moving.isEmpty():
+        bins = rows.join(moving, "grp").groupBy("grp", bin_of.alias("bin")).agg(*sums)
+        new = stored(bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE), "mcd")
+        still.append(new.join(seen, ["grp", "mu", "inv"], "left_semi"))
+        moving = stored(new.join(seen, ["grp", "mu", "inv"], "left_anti"), "mcd")
+        seen = stored(seen.unionByName(moving), "mcd")
+    return stored(reduce(DataFrame.unionByName, still, estimate.limit(0)), "mcd")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -171,7 +180,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     total = sizes.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     by_all = F.lit("all") if total >= LEAST else F.lit(None).cast("string")
     own = F.concat(F.lit("source "), F.to_json(F.array("lang", "source")))
-    group = F.when(F.col("k") >= LEAST_SOURCE, own).when(F.col("lang_k") >= LEAST_LANG, F.concat(F.lit("lang "), "lang")).otherwise(by_all)
+    group = F.when(F.col("k") >= LEAST, own).when(F.col("lang_k") >= LEAST, F.concat(F.lit("lang "), "lang")).otherwise(by_all)
     groups = stored(sizes.join(by_lang, "lang").select("lang", "source", group.alias("grp")), "groups")
     rows = stored(rows.join(groups, ["lang", "source"], "left"), "grouped")
     estimate = mcd(rows.where("not base_failed and grp is not null"))

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from plexora.llm import toxicity
 from plexora.llm.licenses import TEMPLATES, LicenseScanner, license_scan
+from plexora.llm.quality_rules import BINS, FEATURES, PAIRS, _concentrate, mcd, quality_rules
 from plexora.llm.token_files import CELLS, LEAST, _pairs_of, expand, re_pair, replaced_pairs
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -93,3 +95,37 @@ def test_toxicity_searches_misspellings_of_every_lexicon_word():
     assert matcher.match("grvm-pock") == ("grum-pock", 2.1, True) and matcher.match("v1le") == ("vile", 2.5, True) and matcher.match("vilx")[1] == 0
     matcher.automaton.MOST_PAIRS = 100
     assert matcher.match("grum-qock") == ("grum-pock", 2.1, True)
+
+
+def test_quality_groups_of_a_source_have_their_own_estimate(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(3000)]
+    rows = [(k, ". ".join(" ".join(rnd.choices(words, k=12)) for _ in range(rnd.randint(6, 20))), "en", "ab"[k % 2] if k < 140 else "c") for k in range(160)]
+    got = quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.grp for r in got if r.doc_id < 140} == {'source ["en","a"]', 'source ["en","b"]'} and {r.grp for r in got if r.doc_id >= 140} == {"lang en"}
+    assert all(r.kept for r in got)
+
+
+def test_quality_estimate_stands_still(spark):
+    rng = np.random.default_rng(9)
+    x = np.rint(1024 * (rng.gamma(1.0, 1.0, (300, 6)) @ (np.eye(6) + 0.4))).astype(int)
+    x[:60] += 9000
+    names = list(FEATURES)
+    rows = spark.createDataFrame([("g", *map(int, r)) for r in x], "grp string, " + ", ".join(f"{n} long" for n in names)).cache()
+    e = mcd(rows).collect()
+    assert len(e) == 1
+
+    def step(mu, inv):
+        d = x / 1024 - np.array(mu)
+        dist = np.zeros(len(x))
+        for k, (i, j) in enumerate(PAIRS):
+            dist = dist + inv[k] * d[:, i] * d[:, j]
+        bins = pd.DataFrame({"grp": "g", "bin": np.floor(BINS * np.log2(np.maximum(dist, 0) + 2.0**-12)).astype(int), "k": 1, **{f"s_{i}": x[:, i] for i in range(6)}, **{f"s_{i}_{j}": x[:, i] * x[:, j] for i, j in PAIRS}})
+        out = _concentrate(bins.groupby(["grp", "bin"], as_index=False).sum()).iloc[0]
+        return out.mu, out.inv
+
+    at, seen = (e[0].mu, e[0].inv), []
+    for _ in range(20):  # the estimate comes again: at once, or after a circle
+        at = step(*at)
+        seen.append(np.allclose(at[0], e[0].mu, rtol=1e-9) and np.allclose(at[1], e[0].inv, rtol=1e-9))
+    assert any(seen)
