@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import math
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,37 +16,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The largest array that is ever broadcast to Python workers, in bytes.
-BROADCAST_BYTES = 16 << 20
+from plexora.llm.files import write_file
+
+#: The largest array that is ever broadcast to Python workers, and the most that a worker gets at once, in bytes.
+BROADCAST_BYTES, ARROW_BYTES = 16 << 20, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop), a temporary folder of
-    this machine is set and used.
+    Only where the session names none and runs on one machine (tests, a laptop) a
+    temporary folder is set and used; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plexora-"))
             found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the workers this package, once per application, so that it need not be installed there."""
+    """Gives the workers this package, once per application, so that it need not be installed there, and bounds what they get at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_plexora_shipped", False):
         return
-    root = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp()) / "plexora.zip"
-    with zipfile.ZipFile(name, "w") as z:
+    root, data = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(name))
+    sc.addPyFile(write_file(new_folder(spark, "package"), "plexora.zip", data.getvalue()))
     sc._plexora_shipped = True
 
 
@@ -57,23 +63,68 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plexora_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_plexora_path", None):
+            sc = df.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Cells of a Bloom filter's share, and of the largest filter: 2**27 bits are 16 MB.
+SHARE_BITS, MOST_BITS = 1 << 19, BROADCAST_BYTES * 8
+
+
+class Bloom:
+    """A set of 64-bit keys of at most BROADCAST_BYTES bytes that says "surely not" or "perhaps".
+
+    Whatever passes it is checked exactly by the join behind it; with more keys than
+    it has room for, more passes in vain, and nothing is lost.
+    """
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = bloom_positions(keys, self.mask)
+        return np.logical_and.reduce([(self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 for p in at]).astype(bool)
+
+
+def bloom_positions(keys: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+    h = mix64(keys.view(np.uint64))
+    return [h & mask, (h >> np.uint64(32)) & mask, mix64(h + np.uint64(0x9E3779B97F4A7C15)) & mask]
+
 
+def bloom(keys: DataFrame, count: int) -> Bloom:
+    """The filter of the column of longs; each task and then each share of the bits is put together apart."""
+    size = power_of_two(12 * count, SHARE_BITS, MOST_BITS)
+    mask = np.uint64(size - 1)
 
-def rows_with(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is among the distinct ids. Ids under the broadcast bound are broadcast, so that no text is moved; others are joined."""
-    ids = stored(ids.select(key).distinct(), "ids")
-    if ids.count() <= BROADCAST_BYTES // 8:
-        ids = F.broadcast(ids)
-    return df.join(ids, key, "left_semi").select(df.columns)
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.unique(np.concatenate(bloom_positions(batch.column(0).to_numpy().astype(np.int64), mask)))
+            cuts = np.flatnonzero(np.diff(p // np.uint64(SHARE_BITS))) + 1
+            parts = [x for x in np.split(p, cuts) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) // SHARE_BITS for x in parts], pa.int32()), pa.array([(x % np.uint64(SHARE_BITS)).astype(np.uint32).tobytes() for x in parts], pa.binary())], ["share", "at"])
 
+    def share(table: pa.Table) -> pa.Table:
+        bits = np.zeros(SHARE_BITS, dtype=np.uint8)
+        for x in table.column("at"):
+            bits[np.frombuffer(x.as_buffer(), dtype=np.uint32)] = 1
+        return pa.table({"share": table.column("share")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing will read again."""
-    sc = df.sparkSession.sparkContext
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    ship(keys.sparkSession)
+    rows = keys.mapInArrow(positions, "share int, at binary").groupBy("share").applyInArrow(share, "share int, bits binary").collect()  # of BROADCAST_BYTES at most
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for r in rows:
+        bits[r["share"] * SHARE_BITS // 8 : (r["share"] + 1) * SHARE_BITS // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return Bloom(bits)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -9,7 +9,7 @@ import pytest
 from plexora.llm import pairwise_quality, toxicity, url_filter
 from plexora.llm.decontaminate import decontaminate, items_digest, words_of
 from plexora.llm.licenses import license_scan
-from plexora.llm.ngram_join import NgramJaccard, ngram_jaccard, signatures
+from plexora.llm.ngram_join import difference, ngram_jaccard, signatures
 from plexora.llm.packing import pack, plan
 from plexora.llm.quality_rules import quality_rules
 from plexora.llm.token_files import Shard, re_pair, token_files, write_shard
@@ -65,12 +65,12 @@ def brute_components(texts, width, percent):
     return [(k, len(s), comp[k]) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("width", "percent", "limits"), [(4, 85, None), (5, 80, None), (4, 85, (2, 2, 2)), (4, 60, (3, 3, 4))])
+@pytest.mark.parametrize(("width", "percent", "limits"), [(5, 80, None), (4, 60, (3, 3))])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, width, percent, limits):
     import plexora.llm.ngram_join as module
 
-    if limits:  # frequent classes, chunks and short lists at a small size
-        for name, v in zip(("FREQUENT", "SHORT", "CHUNK"), limits, strict=True):
+    if limits:  # frequent classes, and lists that count as long, at a small size
+        for name, v in zip(("FREQUENT", "SHORT"), limits, strict=True):
             monkeypatch.setattr(module, name, v)
     texts = near_texts()
     found = ngram_jaccard(documents(spark, texts), width, percent).select("doc_id", "n_shingles", "component_id").collect()
@@ -84,13 +84,53 @@ def test_ngram_join_odd_inputs(spark):
     assert ngram_jaccard(documents(spark, []), 4, 85).collect() == []
 
 
-def test_ngram_links_are_all_links(spark):
-    texts = [t for t in near_texts(2) if t]
-    n = NgramJaccard(documents(spark, texts), 4, 85).links().count()
-    sets = {frozenset(zip(*[t.lower().split()[k:] for k in range(4)], strict=False)) or t.lower() for t in texts if len(t.split()) > 3}
-    sets = [s for s in sets if s]
-    want = sum(100 * len(a & b) >= 85 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
-    assert n == want
+def chained_texts(seed, n=150):
+    """A group of near copies with many or few changes each, copies of copies among them."""
+    rnd, words = random.Random(seed), vocabulary(seed, 200)
+    out = [rnd.choices(words, k=80)]
+    for _ in range(n):
+        own = list(out[0] if rnd.random() < 0.7 else rnd.choice(out))
+        for _ in range(rnd.randint(0, 4)):
+            own[rnd.randrange(len(own))] = rnd.choice(words)
+        out.append(own)
+    return [" ".join(w) for w in out]
+
+
+def test_ngram_join_settles_long_lists(spark, monkeypatch):
+    import plexora.llm.graphs as graphs
+    import plexora.llm.ngram_join as module
+
+    for name, v in zip(("FREQUENT", "SHORT"), (3, 2), strict=True):
+        monkeypatch.setattr(module, name, v)
+    monkeypatch.setattr(graphs, "FEW", 5)
+    texts = chained_texts(6) + near_texts(7)
+    found = ngram_jaccard(documents(spark, texts), 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == brute_components(texts, 4, 85)
+
+
+def test_differences_keep_every_similar_pair():
+    rng = np.random.default_rng(4)
+    none, seen = np.empty(0, np.uint64), 0
+    for _ in range(3000):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(5, 120)), dtype=np.uint64))
+        c, x, y = (np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() * 0.15], rng.integers(0, 2**63, int(rng.integers(0, 8)), dtype=np.uint64)])) for _ in range(3))
+        shared = rng.integers(0, 2**63, int(rng.integers(0, 12)), dtype=np.uint64)
+        x, y = np.union1d(x, shared), np.union1d(y, shared)
+
+        def similar(a, b):
+            k = len(np.intersect1d(a, b))
+            return 100 * k >= 85 * (len(a) + len(b) - k)
+
+        if not similar(x, y) or similar(x, c) and similar(y, c):
+            continue
+        seen += 1
+        (p, half_p, most_p), (q, half_q, most_q) = difference(x, c, 85, none), difference(y, c, 85, none)
+        if not similar(x, c) and not similar(y, c):
+            assert len(np.intersect1d(p[:half_p], q[:half_q]))
+        else:
+            a, b = (p[:most_p], q[:half_q]) if similar(y, c) else (p[:half_p], q[:most_q])
+            assert len(np.intersect1d(a, b))
+    assert seen > 100
 
 
 def test_signatures_keep_every_similar_pair():
