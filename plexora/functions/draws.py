@@ -50,11 +50,30 @@ def slotted(line: DataFrame) -> DataFrame:
     return line.withColumn("slot", F.explode(F.when(F.col("n_slots") == 1, F.array(F.lit(0).cast("long"))).otherwise(whole)))
 
 
-def picked(draws: DataFrame, items: DataFrame, keys: list[str], order: list[str], hash_column: str = "h", weight: str = "w") -> DataFrame:
-    """Each row of draws joined with the item of its keys that its hash falls on; draws of keys without items go."""
+def picked(draws: DataFrame, items: DataFrame, keys: list[str], order: list[str], hash_column: str = "h", weight: str = "w", how: str = "inner") -> DataFrame:
+    """Each row of draws joined with the item of its keys that its hash falls on.
+
+    Draws of keys without items go, or stay with nulls where how is left. draws is used once.
+    """
     line = cumulated(items, keys, order, weight)
     heads = line.groupBy(*keys).agg(F.first("total").alias("total"), F.first("n_slots").alias("n_slots"))
-    draws = draws.join(heads, keys).withColumn("r", F.col(hash_column) % F.col("total"))
+    draws = draws.join(heads, keys, how).withColumn("r", F.col(hash_column) % F.col("total"))
     draws = draws.withColumn("slot", F.floor(F.col("r") * F.col("n_slots") / F.col("total")).cast("long")).drop("total", "n_slots")
     items = slotted(line).drop("total", "n_slots")
-    return draws.join(items, [*keys, "slot"]).where("lo <= r and r < hi").drop("slot", "lo", "hi", "r", hash_column)
+    if how == "inner":
+        found = draws.join(items, [*keys, "slot"]).where("lo <= r and r < hi")
+    else:
+        items = items.select(*[F.col(c).alias(f"_{c}") for c in [*keys, "slot"]], *[c for c in items.columns if c not in [*keys, "slot"]])
+        same = [F.col(c) == F.col(f"_{c}") for c in [*keys, "slot"]]
+        found = draws.join(items, [*same, F.col("lo") <= F.col("r"), F.col("r") < F.col("hi")], "left").drop(*[f"_{c}" for c in [*keys, "slot"]])
+    return found.drop("slot", "lo", "hi", "r", hash_column)
+
+
+def picked_within(rows: DataFrame, keys: list[str], order: list[str], hash_column: str = "h", weight: str = "w") -> DataFrame:
+    """Of each key's rows the one that the key's hash, the same in all of them, falls on. One pass over rows, which may be costly to make."""
+    all_of = Window.partitionBy(*keys)
+    rows = rows.withColumn("_t", F.sum(weight).over(all_of))
+    rows = rows.withColumn("_w", F.when(F.col("_t") == 0, F.lit(1).cast("long")).otherwise(F.col(weight)))
+    line = all_of.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_hi", F.sum("_w").over(line)).withColumn("_r", F.col(hash_column) % F.sum("_w").over(all_of))
+    return rows.where("_hi - _w <= _r and _r < _hi").drop("_t", "_w", "_hi", "_r", hash_column)

@@ -53,7 +53,6 @@ def _looked_up(graph: Graph, kind: str, tables: dict[int, DataFrame], keys: list
 def vertex_features(graph: Graph, rows: DataFrame, names: list[str], dims: list[int] | None = None, types: list[T.DataType] | None = None, strict: bool = True, numeric: bool = False) -> DataFrame:
     """(pos, id, one array column per name). Strict: an id that is missing or lacks an attribute is an error; else null."""
     table = _looked_up(graph, "vertex", graph.vertex_tables, ["id"], names, dims or [0] * len(names), types, numeric)
-    table = table.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*[F.col(f"f_{n}") for n in names]))).where("_n = 1").drop("_n")
     return _answered(rows, table, ["id"], names, strict)
 
 
@@ -61,11 +60,13 @@ def edge_features(graph: Graph, rows: DataFrame, names: list[str], dims: list[in
     """(pos, etype, src, dst, one array column per name); of repeated edges one row's attributes."""
     keys = ["src", "dst", "etype"]
     table = _looked_up(graph, "edge", graph.edge_tables, keys, names, dims or [0] * len(names), types, numeric)
-    table = table.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(f"f_{n}") for n in names]))).where("_n = 1").drop("_n")
     return _answered(rows, table, keys, names, strict)
 
 
 def _answered(rows: DataFrame, table: DataFrame, keys: list[str], names: list[str], strict: bool) -> DataFrame:
+    # Of repeated entities one row counts; only what was asked for is looked at.
+    table = table.join(rows.select(*keys).distinct(), keys, "left_semi")
+    table = table.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(f"f_{n}") for n in names]))).where("_n = 1").drop("_n")
     out = rows.join(table, keys, "left")
     cols = []
     for n in names:

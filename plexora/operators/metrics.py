@@ -123,6 +123,21 @@ def link_f1(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return s.select(*keys, (2 * F.col("tp") / (F.col("yes") + F.col("true"))).alias("f1"))
 
 
+def link_scores(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """pairs(..., a, b) and embeddings(id, embedding) -> pairs with score, the cosine of the two; an id's vectors are averaged, pairs with an unknown id go."""
+    size = F.posexplode("embedding")
+    mean = embeddings.select("id", size.alias("i", "v")).groupBy("id", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    mean = mean.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("x"))  # as many as a vector has
+    found = pairs.join(mean.toDF("a", "_x"), "a").join(mean.toDF("b", "_y"), "b")
+    return found.withColumn("score", cosine("_x", "_y")).drop("_x", "_y")
+
+
+def link_quality(rows: DataFrame, key: str) -> DataFrame:
+    """rows(score, label, key) -> auc, f1: each per value of key (an edge type), averaged over the values that have both labels."""
+    both = auc(rows, (key,)).where("auc is not null").join(link_f1(rows, (key,)), key)
+    return both.agg(F.avg("auc").alias("auc"), F.avg("f1").alias("f1"))
+
+
 LOSSES = {"neg_cross_entropy": neg_cross_entropy, "multi_label_sm": multi_label_soft_margin, "binary_cross_entropy": binary_cross_entropy, "softmax_cross_entropy": softmax_cross_entropy, "nce": nce_loss}
 METRICS = {"mrr": mrr, "soft_f1": soft_f1, "f1": hard_f1, "acc": accuracy, "auc": auc, "class_f1": class_f1, "link_f1": link_f1, "cos": cosine_similarity}
 

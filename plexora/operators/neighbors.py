@@ -26,9 +26,9 @@ def strictly(found: DataFrame, asked: DataFrame, least: int = 1) -> DataFrame:
     return checked.join(found, "pos", "left").where("_ok").drop("_ok")
 
 
-def full_neighbors(graph: Graph, rows: DataFrame, types: list[int] | None = None, strict: bool = False) -> DataFrame:
-    """(pos, id, etype, dst, weight, w), one row per edge, repeated ones too."""
-    found = rows.join(graph.edges_of(types).withColumnRenamed("src", "id"), "id").select(*rows.columns, "etype", "dst", "weight", "w")
+def full_neighbors(graph: Graph, rows: DataFrame, types: list[int] | None = None, strict: bool = False, keep_missing: bool = False) -> DataFrame:
+    """(pos, id, etype, dst, weight, w), one row per edge, repeated ones too; with keep_missing, inputs without edges have one row of nulls."""
+    found = rows.join(graph.edges_of(types).withColumnRenamed("src", "id"), "id", "left" if keep_missing else "inner").select(*rows.columns, "etype", "dst", "weight", "w")
     return strictly(found, rows) if strict else found
 
 

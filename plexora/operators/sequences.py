@@ -8,7 +8,7 @@ from math import lcm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.functions.draws import h60, numbers, picked
+from plexora.functions.draws import h60, numbers, picked, picked_within
 from plexora.operators.graph import Graph
 
 
@@ -19,18 +19,27 @@ def multi_hop(graph: Graph, rows: DataFrame, metapath: list[list[int] | None], f
     """
     if not metapath or len(metapath) != len(fanouts):
         raise ValueError("a metapath has one fanout per step")
-    level = rows.select("pos", F.lit(0).alias("level"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("long").alias("parent"), "id", F.lit(1.0).alias("weight"))
-    out, first, width = level, 0, 1
+    def node(level: int, slot, parent, vertex, weight):  # noqa: ANN001, ANN202
+        return F.struct(F.lit(level).alias("level"), slot.cast("long").alias("slot"), parent.cast("long").alias("parent"), vertex.alias("id"), weight.cast("double").alias("weight"))
+
+    # One row per deepest node with the nodes above it, so that each hop is drawn once. A node that isn't there (id is
+    # null) has one row below; of the rows that share a node, the first child's chain gives it.
+    zero, none = F.lit(0), F.lit(None)
+    paths = rows.select("pos", "id", F.lit(0).cast("long").alias("slot"), F.array(node(0, zero, none, F.col("id"), F.lit(1.0))).alias("path"), F.array().cast("array<long>").alias("ks"))
+    first, width = 0, 1
     for hop, (types, fanout) in enumerate(zip(metapath, fanouts, strict=True), 1):
-        asked = level.select("pos", F.col("slot").alias("parent"), "id").withColumn("k", F.explode(numbers(fanout)))
-        asked = asked.withColumn("h", h60(seed, "hop", hop, F.col("pos"), F.col("parent"), F.col("k")))
-        found = picked(asked, graph.edges_of(types).withColumnRenamed("src", "id"), ["id"], ["etype", "dst", "w"])
+        k = F.explode(F.when(F.col("id").isNull(), numbers(1)).otherwise(numbers(fanout)))
+        asked = paths.withColumn("k", k).withColumn("h", h60(seed, "hop", hop, F.col("pos"), F.col("slot"), F.col("k"))).withColumnRenamed("slot", "parent")
+        edges = graph.edges_of(types).select(F.col("src").alias("id"), "etype", "dst", "weight", "w")
+        found = picked(asked, edges, ["id"], ["etype", "dst", "w"], how="left")
         next_first = first + width
-        slot = F.lit(next_first) + (F.col("parent") - first) * fanout + F.col("k")
-        level = found.select("pos", F.lit(hop).alias("level"), slot.cast("long").alias("slot"), "parent", F.col("dst").alias("id"), "weight")
-        out = out.unionByName(level)
+        slot = (F.lit(next_first) + (F.col("parent") - first) * fanout + F.col("k")).cast("long")
+        own = node(hop, slot, F.col("parent"), F.col("dst"), F.col("weight"))
+        paths = found.select("pos", F.col("dst").alias("id"), slot.alias("slot"), F.concat("path", F.array(own)).alias("path"), F.concat("ks", F.array("k")).alias("ks"))
         first, width = next_first, width * fanout
-    return out
+    depth = len(fanouts)
+    leads = F.filter("path", lambda x: x["id"].isNotNull() & ~F.exists(F.slice(F.col("ks"), x["level"] + 1, F.lit(depth)), lambda k: k > 0))
+    return paths.select("pos", F.explode(leads).alias("x")).select("pos", "x.level", "x.slot", "x.parent", "x.id", "x.weight")
 
 
 def multi_hop_arrays(found: DataFrame) -> DataFrame:
@@ -71,13 +80,12 @@ def random_walk(graph: Graph, rows: DataFrame, metapath: list[list[int] | None],
         if plain or step == 1:
             found = picked(asked, edges, ["id"], ["etype", "dst", "w"])
         else:
-            candidates = asked.join(edges, "id")
             before = F.element_at("path", -2)
             near = graph.edges_of(metapath[step - 2]).select(F.col("src").alias("_t"), F.col("dst").alias("_c")).distinct()
-            candidates = candidates.withColumn("_b", before).join(near, (F.col("_b") == F.col("_t")) & (F.col("dst") == F.col("_c")), "left")
+            candidates = asked.join(edges, "id").withColumn("_b", before).join(near, (F.col("_b") == F.col("_t")) & (F.col("dst") == F.col("_c")), "left")
             factor = F.when(F.col("_t").isNotNull(), common).when(F.col("dst") == F.col("_b"), back).otherwise(other)
-            candidates = candidates.select("walk", "etype", "dst", (F.col("w") * factor).alias("w"))
-            found = picked(asked, candidates, ["walk"], ["etype", "dst", "w"])
+            candidates = candidates.withColumn("w", F.col("w") * factor).drop("_t", "_c", "_b")
+            found = picked_within(candidates, ["walk"], ["etype", "dst", "w"])
         walks = found.select("walk", "pos", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("id"))
     return walks.select("walk", "pos", "path")
 

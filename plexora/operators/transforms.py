@@ -71,18 +71,22 @@ def multi_hop_feature_neg(graph: Graph, rows: DataFrame, metapath: list, fanouts
     return found.join(roots.select("pos", "root", "role", "k"), "pos")
 
 
-def unique_index(found: DataFrame, batch: str | None = None) -> DataFrame:
+def _keys(batch: str | list[str] | None) -> list[str]:
+    return [batch] if isinstance(batch, str) else list(batch or [])
+
+
+def unique_index(found: DataFrame, batch: str | list[str] | None = None) -> DataFrame:
     """Adds index: the number of the node's id among the different ids, by first appearance (pos, slot), within each batch."""
-    keys = [batch] if batch else []
+    keys = _keys(batch)
     first = found.groupBy(*keys, "id").agg(F.min(F.struct("pos", "slot")).alias("_f"))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("_f")) - 1  # one row per different id of a batch
     return found.join(first.withColumn("index", number.cast("long")).drop("_f"), [*keys, "id"])
 
 
-def sparse_form(graph: Graph, found: DataFrame, names: list[str], dims: list[int] | None = None, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+def sparse_form(graph: Graph, found: DataFrame, names: list[str], dims: list[int] | None = None, batch: str | list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes: index, id, features), (links of slots to indices: pos, slot, index)."""
     indexed = unique_index(found, batch)
-    keys = [batch] if batch else []
+    keys = _keys(batch)
     nodes = indexed.select(*keys, "index", "id").distinct().withColumn("pos", F.col("index"))
     nodes = concatenated(unique_features(graph, nodes, names, dims), names).drop("pos")
     return nodes, indexed.select(*keys, "pos", "slot", "index")
@@ -98,14 +102,46 @@ def bipartite(found: DataFrame, depth: int) -> list[DataFrame]:
     return out
 
 
-def relations(indexed: DataFrame, fanouts: list[int]) -> DataFrame:
-    """(edge_no, pos, parent_index, child_index, weight) of the links between unique indices; edges in the order (edge_no, pos)."""
+def multi_hop_feature_label_sparse(graph: Graph, rows: DataFrame, metapath: list, fanouts: list[int], names: list[str], label: str, dims: list[int] | None = None, seed: int = 1, batch: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sparse_form of multi_hop, and (pos, id, label) of the roots. A batch is a column of rows, which is joined back by pos."""
+    nodes, links = sparse_form(graph, _batched(multi_hop(graph, rows.select("pos", "id"), metapath, fanouts, seed), rows, batch), names, dims, batch)
+    return nodes, links, with_labels(graph, rows, label)
+
+
+def multi_hop_feature_neg_sparse(graph: Graph, rows: DataFrame, metapath: list, fanouts: list[int], names: list[str], vertex_type: int, count: int, dims: list[int] | None = None, seed: int = 1, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """sparse_form of multi_hop from targets, contexts and negatives, with the column role; ids are numbered apart per role.
+
+    pos is root * (count + 2) + 0 for targets, + 1 for contexts, + 2 + k for negatives.
+    """
+    roots = target_context_negative(graph, rows.select("pos", "id"), metapath[0], vertex_type, count, seed)
+    code = F.when(F.col("role") == "target", 0).when(F.col("role") == "context", 1).otherwise(2 + F.col("k"))
+    found = multi_hop(graph, roots.select((F.col("pos") * (count + 2) + code).alias("pos"), "id"), metapath, fanouts, seed)
+    part = F.col("pos") % (count + 2)
+    found = found.withColumn("role", F.when(part == 0, "target").when(part == 1, "context").otherwise("negative"))
+    if batch:
+        found = found.withColumn("_root", F.floor(F.col("pos") / (count + 2))).join(rows.select(F.col("pos").alias("_root"), batch), "_root").drop("_root")
+    return sparse_form(graph, found, names, dims, ["role", *_keys(batch)])
+
+
+def _batched(found: DataFrame, rows: DataFrame, batch: str | None) -> DataFrame:
+    return found.join(rows.select("pos", batch), "pos") if batch else found
+
+
+def relations(indexed: DataFrame, fanouts: list[int], sort_indices: bool = False, batch: str | None = None) -> DataFrame:
+    """(edge, edge_no, pos, parent_index, child_index, weight) of the links between unique indices.
+
+    edge numbers a batch's links from 0: in the order (edge_no, pos), or by parent_index first where sorted.
+    """
     spark = indexed.sparkSession
     links = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(fanout_links(fanouts))], "edge_no long, parent_slot long, child_slot long")
+    keys = [batch] if batch else []
     parent = indexed.select("pos", F.col("slot").alias("parent_slot"), F.col("index").alias("parent_index"))
     weight = F.col("weight") if "weight" in indexed.columns else F.lit(1.0)
-    child = indexed.select("pos", F.col("slot").alias("child_slot"), F.col("index").alias("child_index"), weight.alias("weight"))
-    return child.join(F.broadcast(links), "child_slot").join(parent, ["pos", "parent_slot"]).select("edge_no", "pos", "parent_index", "child_index", "weight")  # links: as many as the tree has
+    child = indexed.select(*keys, "pos", F.col("slot").alias("child_slot"), F.col("index").alias("child_index"), weight.alias("weight"))
+    found = child.join(F.broadcast(links), "child_slot").join(parent, ["pos", "parent_slot"])  # links: as many as the tree has
+    order = (["parent_index"] if sort_indices else []) + ["edge_no", "pos"]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return found.select(*keys, number.cast("long").alias("edge"), "edge_no", "pos", "parent_index", "child_index", "weight")
 
 
 def targets(indexed: DataFrame) -> DataFrame:

@@ -16,8 +16,12 @@ from plexora.operators.features import concatenated, edge_features, standardised
 from plexora.operators.graph import Graph
 from plexora.operators.neighbors import degrees, full_neighbors, neighbor_offsets, sample_neighbors, sample_neighbors_per_type, topk_arrays, topk_neighbors
 from plexora.operators.sequences import context_pairs, last_level, multi_hop, multi_hop_arrays, random_walk
-from plexora.sources.datasets import dataset_pipeline, edge_dataset, range_dataset, statistics, vertex_dataset
+from plexora.operators.embedding import Supervised, Unsupervised
+from plexora.sources.datasets import dataset_pipeline, edge_dataset, range_dataset, save_embedding, save_predictions, statistics, text_line_dataset, vertex_dataset
+from plexora.sources.schema import GraphSchema
+from plexora.sources.scratch import scratch
 from plexora.sources.tables import table, warehouse_graph
+from plexora.sources.text import convert, load_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -251,24 +255,33 @@ def features_concat(spark, sf):
     return found.select("pos", F.round(F.col("features")[0], 6).alias("a"), F.round(F.col("features")[1], 6).alias("b"), F.size("features").alias("n"))
 
 
-@query(""" , s AS (SELECT avg(CAST(embedding[1] AS DOUBLE)) AS m, stddev_pop(CAST(embedding[1] AS DOUBLE)) AS s FROM embeddings WHERE label < 7)
-SELECT vec_id, round((embedding[1] - m) / s, 5) AS x FROM embeddings, s""")
+@query(""" , v AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings),
+s AS (SELECT i, avg(CAST(x AS DOUBLE)) AS m, stddev_pop(CAST(x AS DOUBLE)) AS s FROM v WHERE label < 7 GROUP BY i)
+SELECT vec_id, v.i AS i, round((x - m) / s, 5) + 0.0 AS x FROM v JOIN s ON s.i = v.i""")
 def features_standardised(spark, sf):
     e = table(spark, sf, "embeddings")
-    return standardised(e, "embedding", F.col("label") < 7, 4).select("vec_id", F.round(F.col("embedding")[0], 5).alias("x"))
+    return standardised(e, "embedding", F.col("label") < 7, 64).select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), (F.round("x", 5) + 0.0).alias("x"))
+
+
+def vsum(e: str) -> str:
+    return f"round(list_sum(list_transform({e}, lambda v: CAST(v AS DOUBLE))), 5) + 0.0"
+
+
+def _vsum(c):  # noqa: ANN001, ANN202
+    return F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double")), 5) + 0.0
 
 
 # Sequences
 
 
 def _hop_sql(rows: str, path: list[tuple[str, int]]) -> str:
-    ctes, first, width = [f"l0 AS (SELECT pos, 0 AS level, CAST(0 AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS parent, id, CAST(0 AS BIGINT) AS w FROM {rows})"], 0, 1
+    ctes, first, width = [f"l0 AS MATERIALIZED (SELECT pos, 0 AS level, CAST(0 AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS parent, id, CAST(0 AS BIGINT) AS w FROM {rows})"], 0, 1
     for hop, (types, fanout) in enumerate(path, 1):
         nxt = first + width
         ctes.append(f"a{hop} AS (SELECT pos, slot, id, k, {h('1', chr(39) + 'hop' + chr(39), str(hop), 'pos', 'slot', 'k')} AS h FROM l{hop - 1}, range({fanout}) t(k))")
-        ctes.append(f"l{hop} AS ({pick(f'a{hop}', _edges(types), 'id', 'etype, dst, w', f'd.pos, {hop} AS level, CAST({nxt} + (d.slot - {first}) * {fanout} + d.k AS BIGINT) AS slot, d.slot AS parent, i.dst AS id, i.w')})")
+        ctes.append(f"l{hop} AS MATERIALIZED ({pick(f'a{hop}', _edges(types), 'id', 'etype, dst, w', f'd.pos, {hop} AS level, CAST({nxt} + (d.slot - {first}) * {fanout} + d.k AS BIGINT) AS slot, d.slot AS parent, i.dst AS id, i.w')})")
         first, width = nxt, width * fanout
-    ctes.append("hops AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(len(path) + 1)) + ")")
+    ctes.append("hops AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(len(path) + 1)) + ")")
     return ", ".join(ctes)
 
 
@@ -295,15 +308,15 @@ def metapath_last_level(spark, sf):
 def _walk_sql(rows: str, steps: list[str], rep: int, factors: tuple[int, int, int] | None = None) -> str:
     ctes = [f"w0 AS (SELECT r * 1099511627776 + pos AS walk, pos, CAST(id AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS before, id FROM {rows}, range({rep}) t(r))"]
     for k, types in enumerate(steps, 1):
-        ctes.append(f"x{k} AS (SELECT *, {h('1', chr(39) + 'walk' + chr(39), str(k), 'walk')} AS h FROM w{k - 1})")
+        ctes.append(f"x{k} AS MATERIALIZED (SELECT *, {h('1', chr(39) + 'walk' + chr(39), str(k), 'walk')} AS h FROM w{k - 1})")
         cols = "d.walk, d.pos, d.path || ',' || i.dst AS path, d.id AS before, i.dst AS id"
         if factors is None or k == 1:
-            ctes.append(f"w{k} AS ({pick(f'x{k}', _edges(types), 'id', 'etype, dst, w', cols)})")
+            ctes.append(f"w{k} AS MATERIALIZED ({pick(f'x{k}', _edges(types), 'id', 'etype, dst, w', cols)})")
         else:
             common, back, other = factors
             near = f"(SELECT DISTINCT src, dst FROM edges WHERE etype IN ({steps[k - 2]}))"
             ctes.append(f"c{k} AS (SELECT x.walk, e.etype, e.dst, e.w * CASE WHEN t.src IS NOT NULL THEN {common} WHEN e.dst = x.before THEN {back} ELSE {other} END AS w FROM x{k} x JOIN {_edges(types)} e ON e.id = x.id LEFT JOIN {near} t ON t.src = x.before AND t.dst = e.dst)")
-            ctes.append(f"w{k} AS ({pick(f'x{k}', f'c{k}', 'walk', 'etype, dst, w', cols)})")
+            ctes.append(f"w{k} AS MATERIALIZED ({pick(f'x{k}', f'c{k}', 'walk', 'etype, dst, w', cols)})")
     return ", ".join(ctes)
 
 
@@ -372,25 +385,25 @@ def target_context_negatives(spark, sf):
     return X.target_context_negative(graph(spark, sf), customers(spark, sf), [0], 1, 2)
 
 
-@query(f""" , {_hop_sql('vecs', [("9", 2), ("9", 2)])} SELECT pos, level, slot, hops.id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0, round(CAST(embedding[2] AS DOUBLE), 6) AS x1 FROM hops JOIN embeddings ON vec_id * 8 + 6 = hops.id""")
+@query(f""" , {_hop_sql('vecs', [("9", 2), ("9", 2)])} SELECT pos, level, slot, hops.id, {vsum("embedding")} AS x FROM hops JOIN embeddings ON vec_id * 8 + 6 = hops.id""")
 def hop_features(spark, sf):
-    found = X.multi_hop_features(graph(spark, sf), vectors(spark, sf), [[9], [9]], [2, 2], ["embedding"], [2])
-    return found.select("pos", "level", "slot", "id", F.round(F.col("features")[0], 6).alias("x0"), F.round(F.col("features")[1], 6).alias("x1"))
+    found = X.multi_hop_features(graph(spark, sf), vectors(spark, sf), [[9], [9]], [2, 2], ["embedding"])
+    return found.select("pos", "level", "slot", "id", _vsum("features").alias("x"))
 
 
-@query(f""" , {_hop_sql('vecs', [("9", 3)])} SELECT pos, slot, hops.id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS x0, r.label FROM hops JOIN embeddings e ON e.vec_id * 8 + 6 = hops.id JOIN embeddings r ON r.vec_id = pos""")
+@query(f""" , {_hop_sql('vecs', [("9", 3)])} SELECT pos, slot, hops.id, {vsum("e.embedding")} AS x, r.label FROM hops JOIN embeddings e ON e.vec_id * 8 + 6 = hops.id JOIN embeddings r ON r.vec_id = pos""")
 def hop_features_label(spark, sf):
-    found = X.multi_hop_feature_label(graph(spark, sf), vectors(spark, sf), [[9]], [3], ["embedding"], "label", [1])
-    return found.select("pos", "slot", "id", F.round(F.col("features")[0], 6).alias("x0"), F.col("label")[0].alias("label"))
+    found = X.multi_hop_feature_label(graph(spark, sf), vectors(spark, sf), [[9]], [3], ["embedding"], "label")
+    return found.select("pos", "slot", "id", _vsum("features").alias("x"), F.col("label")[0].alias("label"))
 
 
 @query(f""" , {_neighbor_sql("vecs", "9", 1, "context", "near")}, r0 AS (SELECT pos FROM near), {_negative_sql("r0", 6, 2, "d.pos")},
 roots AS (SELECT pos * 4 + code AS pos, pos AS root, role, k, id FROM (SELECT pos, 0 AS code, 'target' AS role, CAST(0 AS BIGINT) AS k, id FROM near UNION ALL SELECT pos, 1, 'context', 0, dst FROM near UNION ALL SELECT pos, 2 + k, 'negative', k, negative FROM negs)),
 rr AS (SELECT pos, id FROM roots), {_hop_sql('rr', [("9", 2)])}
-SELECT root, role, k, slot, hops.id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM hops JOIN roots USING (pos) JOIN embeddings ON vec_id * 8 + 6 = hops.id""")
+SELECT root, role, k, slot, hops.id, {vsum("embedding")} AS x FROM hops JOIN roots USING (pos) JOIN embeddings ON vec_id * 8 + 6 = hops.id""")
 def hop_features_negative(spark, sf):
-    found = X.multi_hop_feature_neg(graph(spark, sf), vectors(spark, sf), [[9]], [2], ["embedding"], 6, 2, [1])
-    return found.select("root", "role", "k", "slot", "id", F.round(F.col("features")[0], 6).alias("x0"))
+    found = X.multi_hop_feature_neg(graph(spark, sf), vectors(spark, sf), [[9]], [2], ["embedding"], 6, 2)
+    return found.select("root", "role", "k", "slot", "id", _vsum("features").alias("x"))
 
 
 _UNIQUE = f"""{_hop_sql('vecs', [("9", 2), ("9", 2)])}, firsts AS (SELECT pos // 50 AS batch, id, min(pos * 100 + slot) AS f FROM hops GROUP BY ALL),
@@ -407,11 +420,11 @@ def unique_indices(spark, sf):
     return _indexed(spark, sf).select("batch", "index", "id").distinct()
 
 
-@query(f""" , {_UNIQUE} SELECT DISTINCT batch, "index", i.id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM indexed i JOIN embeddings ON vec_id * 8 + 6 = i.id""")
+@query(f""" , {_UNIQUE} SELECT DISTINCT batch, "index", i.id, {vsum("embedding")} AS x FROM indexed i JOIN embeddings ON vec_id * 8 + 6 = i.id""")
 def sparse_features(spark, sf):
     found = multi_hop(graph(spark, sf), vectors(spark, sf), [[9], [9]], [2, 2]).withColumn("batch", F.floor(F.col("pos") / 50))
-    nodes, _ = X.sparse_form(graph(spark, sf), found, ["embedding"], [1], "batch")
-    return nodes.select("batch", "index", "id", F.round(F.col("features")[0], 6).alias("x0"))
+    nodes, _ = X.sparse_form(graph(spark, sf), found, ["embedding"], None, "batch")
+    return nodes.select("batch", "index", "id", _vsum("features").alias("x"))
 
 
 @query(f""" , {_UNIQUE} SELECT c.batch, c.pos, p."index" AS parent_index, c."index" AS child_index FROM indexed c JOIN indexed p ON p.pos = c.pos AND p.slot = c.parent""")
@@ -443,13 +456,13 @@ def self_loops(spark, sf):
 # Aggregation over the vectors' graph
 
 
-DIM = 4
+DIM = 64  # the whole vector
 _X = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIM))
 _NODES = f"nodes AS (SELECT vec_id * 8 + 6 AS key, {_X} FROM embeddings), links AS (SELECT src, dst, w FROM edges WHERE etype = 9)"
 
 
 def _nodes(spark, sf):
-    x = F.transform(F.slice("embedding", 1, DIM), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, sf, "embeddings").select((F.col("vec_id") * 8 + 6).alias("key"), x.alias("x"))
 
 
@@ -490,8 +503,8 @@ def aggregate_gcn(spark, sf):
     return _flat(M.gcn(_nodes(spark, sf), _messages(spark, sf), DIM), DIM)
 
 
-#: Fixed parameters of the checked layers.
-MATRIX = [[0.5, -0.25, 0.125, 1.0], [1.0, 0.75, -0.5, 0.25]]
+#: Parameters of the checked layers, by a rule: two rows of eighths.
+MATRIX = [[((7 * i + 3 * k) % 11 - 5) / 8 for i in range(DIM)] for k in range(2)]
 
 
 def _mat(row: list[float], cols: list[str]) -> str:
@@ -587,12 +600,12 @@ def metric_hard_f1(spark, sf):
     return L.hard_f1(_scored(spark, sf)).select(*[F.round(c, 5).alias(c) for c in ("f1", "precision", "recall")])
 
 
-_LOGITS = f" , {_NODES}, l AS (SELECT vec_id, label % {DIM} AS label, {_X} FROM embeddings), m AS (SELECT *, greatest({', '.join(_XS)}) AS top FROM l), p AS (SELECT *, CASE {' '.join(f'WHEN x{i} = top THEN {i}' for i in range(DIM))} END AS predicted FROM m)"
+_LOGITS = f" , {_NODES}, l AS (SELECT vec_id, label, {_X} FROM embeddings), m AS (SELECT *, greatest({', '.join(_XS)}) AS top FROM l), p AS (SELECT *, CASE {' '.join(f'WHEN x{i} = top THEN {i}' for i in range(DIM))} END AS predicted FROM m)"
 
 
 def _classified(spark, sf):
-    x = F.transform(F.slice("embedding", 1, DIM), lambda v: v.cast("double"))
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), x.alias("logits"), (F.col("label") % DIM).alias("label"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), x.alias("logits"), "label")
     return rows.withColumn("predicted", L.predicted_class())
 
 
@@ -640,6 +653,205 @@ def metric_link_f1(spark, sf):
     return L.link_f1(_discounts(spark, sf), ("flag",)).select("flag", F.round("f1", 6).alias("f1"))
 
 
+# Second-order walks of a usual length, sparse and sorted forms, encoders, models
+
+
+@query(f" , {_walk_sql('vecs', ['9'] * 10, 1, (2, 4, 1))} SELECT walk, pos, path FROM w10")
+def random_walk_second_order_ten(spark, sf):
+    return _paths(random_walk(graph(spark, sf), vectors(spark, sf), [[9]] * 10, 1, p=0.5, q=2.0))
+
+
+@query(" SELECT pos, vecs.id, etype, dst FROM vecs LEFT JOIN edges ON src = vecs.id AND etype = 9")
+def neighbors_or_null(spark, sf):
+    return full_neighbors(graph(spark, sf), vectors(spark, sf), [9], keep_missing=True).select("pos", "id", "etype", "dst")
+
+
+def _rows50(spark, sf):
+    return vectors(spark, sf).withColumn("batch", F.floor(F.col("pos") / 50))
+
+
+@query(f""" , {_UNIQUE} SELECT i.batch, i.pos, i.slot, i."index", {vsum("e.embedding")} AS x, r.label FROM indexed i JOIN embeddings e ON e.vec_id * 8 + 6 = i.id JOIN embeddings r ON r.vec_id = i.pos""")
+def sparse_features_label(spark, sf):
+    nodes, links, labels = X.multi_hop_feature_label_sparse(graph(spark, sf), _rows50(spark, sf), [[9], [9]], [2, 2], ["embedding"], "label", batch="batch")
+    found = links.join(nodes.select("batch", "index", _vsum("features").alias("x")), ["batch", "index"]).join(labels.select("pos", F.col("label")[0].alias("label")), "pos")
+    return found.select("batch", "pos", "slot", "index", "x", "label")
+
+
+@query(f""" , {_neighbor_sql("vecs", "9", 1, "context", "near")}, r0 AS (SELECT pos FROM near), {_negative_sql("r0", 6, 2, "d.pos")},
+roots AS (SELECT pos * 4 + code AS pos, role, id FROM (SELECT pos, 0 AS code, 'target' AS role, id FROM near UNION ALL SELECT pos, 1, 'context', dst FROM near UNION ALL SELECT pos, 2 + k, 'negative', negative FROM negs)),
+rr AS (SELECT pos, id FROM roots), {_hop_sql('rr', [("9", 2)])},
+hr AS (SELECT role, h.pos // 4 // 50 AS batch, h.pos, slot, h.id FROM hops h JOIN roots USING (pos)),
+nr AS (SELECT role, batch, id, row_number() OVER (PARTITION BY role, batch ORDER BY min(pos * 100 + slot)) - 1 AS "index" FROM hr GROUP BY role, batch, id)
+SELECT role, batch, "index", nr.id, {vsum("embedding")} AS x FROM nr JOIN embeddings ON vec_id * 8 + 6 = nr.id""")
+def sparse_features_negative(spark, sf):
+    nodes, _ = X.multi_hop_feature_neg_sparse(graph(spark, sf), _rows50(spark, sf), [[9]], [2], ["embedding"], 6, 2, batch="batch")
+    return nodes.select("role", "batch", "index", "id", _vsum("features").alias("x"))
+
+
+_LINKS = "tree(edge_no, a, b) AS (VALUES " + ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(X.fanout_links([2, 2]))) + ")"
+
+
+def _relation_sql(order: str) -> str:
+    return f""" , {_UNIQUE}, {_LINKS}, l AS (SELECT c.batch, t.edge_no, c.pos, p."index" AS parent_index, c."index" AS child_index, CAST(c.w AS DOUBLE) AS weight FROM indexed c JOIN tree t ON t.b = c.slot JOIN indexed p ON p.pos = c.pos AND p.slot = t.a)
+SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY {order}edge_no, pos) - 1 AS edge, parent_index, child_index, weight FROM l"""
+
+
+@query(_relation_sql(""))
+def relation_order(spark, sf):
+    return X.relations(_indexed(spark, sf), [2, 2], batch="batch").select("batch", "edge", "parent_index", "child_index", "weight")
+
+
+@query(_relation_sql("parent_index, "))
+def relation_order_sorted(spark, sf):
+    return X.relations(_indexed(spark, sf), [2, 2], True, "batch").select("batch", "edge", "parent_index", "child_index", "weight")
+
+
+@query(_agg_sql("avg({})", ", ".join(f"round({_mat(r + r, _XS + _AS)}, 5) + 0.0 AS h{k}" for k, r in enumerate(MATRIX))))
+def aggregate_mean_one_kernel(spark, sf):
+    return _flat(M.get_aggregator("mean-1k", True)(_nodes(spark, sf), _messages(spark, sf), DIM, [r + r for r in MATRIX]), 2)
+
+
+def _layer_sql(name: str, nodes: str) -> str:
+    return f"{name}_s AS (SELECT src AS key, {', '.join(f'sum(o.x{i}) AS a{i}' for i in range(DIM))}, count(*) AS n FROM links JOIN {nodes} o ON o.key = dst GROUP BY src), {name} AS MATERIALIZED (SELECT nodes.key, {', '.join(f'(nodes.x{i} + coalesce(a{i}, 0)) / (coalesce(n, 0) + 1) AS x{i}' for i in range(DIM))} FROM {nodes} nodes LEFT JOIN {name}_s USING (key))"
+
+
+@query(f" , {_NODES}, {_layer_sql('one', 'nodes')}, {_layer_sql('two', 'one')} SELECT key, {', '.join(f'round(x{i}, 5) + 0.0 AS h{i}' for i in range(DIM))} FROM two")
+def message_passing_two(spark, sf):
+    links = graph(spark, sf).edges.where("etype = 9").select("src", "dst")
+
+    def layer(nodes, links):
+        return M.gcn(nodes, links.join(nodes.withColumnRenamed("key", "dst"), "dst").select(F.col("src").alias("key"), "x"), DIM)
+
+    return _flat(M.message_passing(_nodes(spark, sf), [links, links], [layer, layer]).withColumnRenamed("x", "h"), DIM)
+
+
+@query(" SELECT p_partkey AS pos, round(CAST(p_size AS DOUBLE), 5) AS a, round(p_retailprice, 5) AS b, round(p_size + p_retailprice, 5) AS s, round(0.5 * p_size - p_retailprice, 5) + 0.0 AS m FROM part")
+def features_combined(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.array(F.col("p_size").cast("double")).alias("u"), F.array(F.col("p_retailprice").cast("double")).alias("v"))
+    out = M.combine_features(M.combine_features(rows, ["u", "v"], to="c"), ["u", "v"], "add", to="s")
+    out = M.combine_features(out, ["u", "v"], matrix=[[0.5, -1.0]], to="m")
+    return out.select("pos", F.round(F.col("c")[0], 5).alias("a"), F.round(F.col("c")[1], 5).alias("b"), F.round(F.col("s")[0], 5).alias("s"), (F.round(F.col("m")[0], 5) + 0.0).alias("m"))
+
+
+@query(f" , {_NODES} SELECT key, " + ", ".join(f"round({_mat(r, _XS)} + {k}, 5) + 0.0 AS h{k}" for k, r in enumerate(MATRIX)) + " FROM nodes")
+def encoder_dense(spark, sf):
+    return _flat(M.dense_encoder(_nodes(spark, sf), "x", MATRIX, [0.0, 1.0]).withColumnRenamed("x", "h"), 2)
+
+
+@query(f""" SELECT pos, cust.id, CASE WHEN vec_id IS NULL THEN 0.0 ELSE {vsum("embedding")} END AS x FROM cust LEFT JOIN embeddings ON vec_id = pos * 3""")
+def encoder_embedding(spark, sf):
+    rows = customers(spark, sf).withColumn("key", F.col("pos") * 3)
+    vectors_of = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
+    return M.embedding_lookup(rows, "key", vectors_of, "x", 64).select("pos", "id", _vsum("x").alias("x"))
+
+
+@query(" SELECT id, vtype, CAST(CASE vtype WHEN 0 THEN 0.5 * w WHEN 1 THEN 2 * w ELSE w - 0.25 * vtype END AS DOUBLE) AS h FROM vertices WHERE vtype < 4")
+def encoder_by_type(spark, sf):
+    rows = graph(spark, sf).vertices.where("vtype < 4").withColumn("x", F.array(F.col("w").cast("double"), F.col("vtype").cast("double")))
+    found = M.encode_by_type(rows, "vtype", {0: [[0.5, 0.0]], 1: [[2.0, 0.0]], 2: [[1.0, -0.25]], 3: [[1.0, -0.25]]})
+    return found.select("id", "vtype", F.col("x")[0].alias("h"))
+
+
+@query(_PAIRS + f" SELECT round(avg(s), 5) AS loss FROM (SELECT pos, sum(CASE WHEN positive THEN ln(1 + exp(-l)) ELSE ln(1 + exp(l)) END) AS s FROM (SELECT pos, positive, logit + 0.125 - ln(1 + other % 7) AS l FROM scored) GROUP BY pos)")
+def loss_nce(spark, sf):
+    rows = _scored(spark, sf).select("pos", F.col("target").alias("x"), F.col("context").alias("w"), F.lit(0.125).alias("b"), "positive", (1 + F.col("other") % 7).alias("expected"))
+    return L.nce_loss(rows).select(F.round("loss", 5).alias("loss"))
+
+
+@query(_LOGITS + f" SELECT round(avg(ln({' + '.join(f'exp({x})' for x in _XS)}) - CASE label {' '.join(f'WHEN {i} THEN x{i}' for i in range(DIM))} END), 5) AS loss, round(avg(CAST(predicted = label AS DOUBLE)), 6) AS accuracy FROM p")
+def model_supervised(spark, sf):
+    return Supervised(lambda rows: rows).evaluate(_classified(spark, sf)).select(F.round("loss", 5).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query(_PAIRS + """, own AS (SELECT pos, max(logit) AS o FROM scored WHERE positive GROUP BY pos),
+m AS (SELECT avg(1.0 / rank) AS mrr FROM (SELECT pos, 1 + sum(CASE WHEN NOT positive AND logit >= o THEN 1 ELSE 0 END) AS rank FROM scored JOIN own USING (pos) GROUP BY pos)),
+l AS (SELECT avg(s) AS loss FROM (SELECT pos, sum(CASE WHEN positive THEN ln(1 + exp(-logit)) ELSE ln(1 + exp(logit)) END) AS s FROM scored GROUP BY pos))
+SELECT round(loss, 5) AS loss, round(mrr, 5) AS mrr FROM l, m""")
+def model_unsupervised(spark, sf):
+    return Unsupervised().evaluate(_scored(spark, sf).drop("logit", "label")).select(F.round("loss", 5).alias("loss"), F.round("mrr", 5).alias("mrr"))
+
+
+@query(""" , s AS (SELECT l_returnflag AS flag, l_quantity AS score, CAST(l_linestatus = 'O' AS INT) AS label FROM lineitem),
+g AS (SELECT flag, score, sum(label) AS p, count(*) - sum(label) AS q FROM s GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY flag ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g),
+a AS (SELECT flag, CASE WHEN sum(p) > 0 AND sum(q) > 0 THEN CAST(sum(p * (b + q / 2)) AS DOUBLE) / (CAST(sum(p) AS DOUBLE) * CAST(sum(q) AS DOUBLE)) END AS auc FROM c GROUP BY flag),
+r AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY score DESC) AS place, sum(label) OVER (PARTITION BY flag) AS n FROM s),
+f AS (SELECT *, max(CASE WHEN place = n THEN score END) OVER (PARTITION BY flag) AS floor FROM r), y AS (SELECT *, CAST(score >= floor AS INT) AS yes FROM f),
+z AS (SELECT flag, 2.0 * sum(yes * label) / (sum(yes) + sum(label)) AS f1 FROM y GROUP BY flag)
+SELECT round(avg(auc), 6) AS auc, round(avg(f1), 6) AS f1 FROM a JOIN z USING (flag) WHERE auc IS NOT NULL""")
+def metric_link_mean(spark, sf):
+    return L.link_quality(_discounts(spark, sf), "flag").select(F.round("auc", 6).alias("auc"), F.round("f1", 6).alias("f1"))
+
+
+@query(f" , {_NODES} SELECT src AS a, dst AS b, round(({' + '.join(f'p.x{i} * q.x{i}' for i in range(DIM))}) / (sqrt({' + '.join(f'p.x{i} * p.x{i}' for i in range(DIM))}) * sqrt({' + '.join(f'q.x{i} * q.x{i}' for i in range(DIM))})), 5) + 0.0 AS score FROM links JOIN nodes p ON p.key = src JOIN nodes q ON q.key = dst")
+def link_cosine_scores(spark, sf):
+    x = _nodes(spark, sf).select(F.col("key").alias("id"), F.col("x").alias("embedding"))
+    twice = x.unionByName(x)  # an id's vectors are averaged
+    pairs = graph(spark, sf).edges.where("etype = 9").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return L.link_scores(pairs, twice).select("a", "b", (F.round("score", 5) + 0.0).alias("score"))
+
+
+# Text, stored graphs, attributes of other kinds, vertices without weight
+
+
+_TEXT_SCHEMA = """{"vertexes": [{"vtype": 0, "entity": "DT_INT64", "weight": "DT_DOUBLE", "attrs": [{"name": "segment", "dtype": "DT_STRING"}, {"name": "codes", "dtype": "DT_ARRAY_INT64"}]}, {"vtype": 1, "entity": "DT_INT64"}],
+ "edges": [{"etype": 0, "entity_1": "DT_INT64", "entity_2": "DT_INT64", "weight": "DT_DOUBLE"}]}"""
+
+
+def _text_graph(spark, sf) -> Graph:
+    """Customers and orders as text records, read, converted and loaded. Every vertex and edge is there twice, and some edges have an unknown source."""
+    c, o, at = table(spark, sf, "customer"), table(spark, sf, "orders"), scratch(spark, "text-graph")
+    v0 = c.select(F.concat_ws("\t", F.lit("0"), (F.col("c_custkey") * 8).cast("string"), F.lit("1.5"), "c_mktsegment", F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"))).alias("value"))
+    v1 = o.select(F.concat_ws("\t", F.lit("1"), (F.col("o_orderkey") * 8 + 1).cast("string")).alias("value"))
+    again = c.select(F.concat_ws("\t", F.lit("1"), (F.col("c_custkey") * 8).cast("string")).alias("value"))
+    e0 = o.select(F.concat_ws("\t", F.lit("0"), (F.col("o_custkey") * 8).cast("string"), (F.col("o_orderkey") * 8 + 1).cast("string"), F.lit("2.25")).alias("value"))
+    lost = o.select(F.concat_ws("\t", F.lit("0"), F.lit("-5"), (F.col("o_orderkey") * 8 + 1).cast("string"), F.lit("1")).alias("value"))
+    v0.union(v1).union(again).write.text(f"{at}/v")
+    e0.union(lost).write.text(f"{at}/e")
+    schema = GraphSchema.parse(_TEXT_SCHEMA)
+    convert(spark, f"{at}/v", f"{at}/e", schema, f"{at}/stored")
+    return load_graph(spark, f"{at}/stored", schema)
+
+
+@query(""" SELECT 0 AS vtype, c_custkey * 8 AS id, CAST(1.5 AS DOUBLE) AS weight FROM customer UNION ALL SELECT 1, o_orderkey * 8 + 1, 1.0 FROM orders""")
+def text_graph_vertices(spark, sf):
+    return _text_graph(spark, sf).vertices.select("vtype", "id", "weight")
+
+
+@query(" SELECT 0 AS etype, o_custkey * 8 AS src, o_orderkey * 8 + 1 AS dst, CAST(2.25 AS DOUBLE) AS weight FROM orders")
+def text_graph_edges(spark, sf):
+    return _text_graph(spark, sf).edges.select("etype", "src", "dst", "weight")
+
+
+@query(" SELECT c_custkey AS pos, c_mktsegment AS segment, c_custkey AS code0, CAST(c_nationkey AS BIGINT) AS code1 FROM customer")
+def text_graph_features(spark, sf):
+    found = vertex_features(_text_graph(spark, sf), customers(spark, sf), ["segment", "codes"])
+    return found.select("pos", F.col("segment")[0].alias("segment") if dict(found.dtypes)["segment"].startswith("array") else "segment", F.col("codes")[0].alias("code0"), F.col("codes")[1].alias("code1"))
+
+
+@query(" SELECT o_custkey AS x, o_orderkey AS y, epoch FROM orders, range(2) t(epoch) ")
+def dataset_text_lines(spark, sf):
+    at = scratch(spark, "lines")
+    table(spark, sf, "orders").select("o_custkey", "o_orderkey").write.csv(at)
+    both = [text_line_dataset(spark, at, ["x", "y"], "*.csv", worker=k, workers=2, repeat=2, shuffle_seed=5) for k in range(2)]
+    return both[0].unionByName(both[1]).select("x", "y", F.col("epoch").cast("long").alias("epoch"))
+
+
+@query(f" SELECT vec_id AS id, {vsum('embedding')} AS x FROM embeddings")
+def saved_embeddings(spark, sf):
+    at = scratch(spark, "embeddings")
+    save_predictions(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), at, save_embedding)
+    return spark.read.parquet(at).select("id", _vsum("embedding").alias("x"))
+
+
+@query(_entity_sql("(SELECT 0 AS vtype, id, 1 AS w FROM parts)", "vtype", [0], 700, "vertex", "id", "d.vtype, d.k, i.id", "id"))
+def sample_vertices_weightless(spark, sf):
+    """Vertices that all weigh nothing are drawn evenly."""
+    rows = parts(spark, sf).select("id").withColumn("weight", F.lit(0).cast("long"))
+    none = spark.createDataFrame([], "src long, dst long")
+    return sample_vertices(Graph.of({0: rows}, {0: none}), [0], 700)
+
+
 # Datasets
 
 
@@ -658,11 +870,11 @@ def dataset_edges(spark, sf):
     return edge_dataset(graph(spark, sf), [9], 64, table(spark, sf, "embeddings").count())
 
 
-@query(f" , {_hop_sql('cust', [('0', 2)])} SELECT pos // 2 // 16 AS batch, h.pos, h.slot, h.id FROM hops h WHERE pos % 2 = 1")
+@query(f" , {_hop_sql('cust', [('0', 2)])} SELECT pos % 2 AS worker, pos // 2 // 16 AS batch, h.pos, h.slot, h.id FROM hops h")
 def dataset_pipeline_hops(spark, sf):
     g = graph(spark, sf)
-    found = dataset_pipeline(customers(spark, sf), lambda rows: multi_hop(g, rows, [[0]], [2]), batch_size=16, worker=1, workers=2)
-    return found.select(F.floor(F.floor(F.col("pos") / 2) / 16).alias("batch"), "pos", "slot", "id")
+    both = [dataset_pipeline(customers(spark, sf), lambda rows: multi_hop(g, rows, [[0]], [2]), batch_size=16, worker=k, workers=2).withColumn("worker", F.lit(k).cast("long")) for k in range(2)]
+    return both[0].unionByName(both[1]).select("worker", F.floor(F.floor(F.col("pos") / 2) / 16).alias("batch"), "pos", "slot", "id")
 
 
 @query(" SELECT round(min(o_totalprice), 4) AS lo, round(avg(o_totalprice), 4) AS mean, round(max(o_totalprice), 4) AS hi, round(avg(CASE WHEN o_orderkey >= 100 THEN o_totalprice END), 4) AS recent FROM orders")

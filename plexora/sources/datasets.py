@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,15 @@ def range_dataset(spark: SparkSession, start: int, end: int, step: int = 1) -> D
     return spark.range(max(0, math.ceil((end - start) / step))).select(F.col("id").alias("pos"), (F.col("id") * step + start).alias("id"))
 
 
-def text_line_dataset(spark: SparkSession, path: str, names: list[str], file_pattern: str | None = None, separator: str = ",") -> DataFrame:
-    """Rows of whole numbers."""
+def text_line_dataset(spark: SparkSession, path: str, names: list[str], file_pattern: str | None = None, separator: str = ",", worker: int = 0, workers: int = 1, repeat: int = 1, shuffle_seed: int | None = None) -> DataFrame:
+    """Rows of whole numbers: this worker's share by a hash of the row, repeat times, in another order of rows for each seed."""
     reader = spark.read.schema(T.StructType([T.StructField(n, T.LongType()) for n in names])).option("sep", separator).option("mode", "FAILFAST")
-    return (reader.option("pathGlobFilter", file_pattern) if file_pattern else reader).csv(path)
+    rows = (reader.option("pathGlobFilter", file_pattern) if file_pattern else reader).csv(path)
+    if workers > 1:
+        rows = rows.where(F.pmod(F.xxhash64(*names), F.lit(workers)) == worker)
+    if repeat > 1:
+        rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
+    return rows.orderBy(*(["epoch"] if repeat > 1 else []), F.xxhash64(*rows.columns, F.lit(shuffle_seed))) if shuffle_seed is not None else rows
 
 
 def tensor_dataset(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
@@ -58,17 +64,27 @@ def dataset_pipeline(base: DataFrame, *transforms: Callable[[DataFrame], DataFra
     return out
 
 
+@dataclass
 class BaseInputs:
-    """Where a trainer takes its data from; subclasses give DataFrames."""
+    """Where a trainer takes its data from: functions of a session that give DataFrames; a missing one is an error when it is asked for."""
 
-    def train_data(self) -> DataFrame:
-        raise NotImplementedError
+    train: Callable[[SparkSession], DataFrame] | None = None
+    evaluate: Callable[[SparkSession], DataFrame] | None = None
+    predict: Callable[[SparkSession], DataFrame] | None = None
 
-    def evaluate_data(self) -> DataFrame:
-        raise NotImplementedError
+    def _data(self, name: str, spark: SparkSession) -> DataFrame:
+        if (made := getattr(self, name)) is None:
+            raise ValueError(f"these inputs have no {name} data")
+        return made(spark)
 
-    def predict_data(self) -> DataFrame:
-        raise NotImplementedError
+    def train_data(self, spark: SparkSession) -> DataFrame:
+        return self._data("train", spark)
+
+    def evaluate_data(self, spark: SparkSession) -> DataFrame:
+        return self._data("evaluate", spark)
+
+    def predict_data(self, spark: SparkSession) -> DataFrame:
+        return self._data("predict", spark)
 
 
 def save_embedding(rows: DataFrame, path: str, key: str = "id", vector: str = "embedding") -> None:

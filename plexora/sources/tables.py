@@ -21,6 +21,14 @@ def _cents(c: str):  # noqa: ANN202
 
 
 def warehouse_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of a folder's tables; its plan is made once per session and folder."""
+    made = spark.__dict__.setdefault("_plexora_graphs", {})
+    if sf_dir not in made:
+        made[sf_dir] = _warehouse_graph(spark, sf_dir)
+    return made[sf_dir]
+
+
+def _warehouse_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Vertex types: 0 customer, 1 order, 2 part, 3 supplier, 4 nation, 5 region, 6 vector, 7 user.
 
     Edge types: 0/1 customer-order and back, 2/3 order-part and back (a line item
