@@ -12,16 +12,20 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import column_of, new_folder, ship, slices, stored
+from plexora.llm.common import bloom, column_of, discard, keyed, new_folder, ship, slices, stored
 from plexora.llm.files import read_files, write_file
 
 #: Payload bytes of an archive before the next is begun.
@@ -29,6 +33,7 @@ ARCHIVE_BYTES = 16 << 20
 #: Fixed values of the format.
 VERSION, REVISIT = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+SPACES = re.compile(r"\s")
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -36,9 +41,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page_id: int | None) -> str:
-    """The same for each run of a task, so that a file that is written again is the same."""
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}/{page_id}')}>"
+def record_id(kind: str, page_id: int | None, row: int) -> str:
+    """The same for each run of a task, so that a file that is written again is the same; row tells rows with one page_id apart."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}/{page_id}/{row}')}>"
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -46,26 +51,23 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=1, mtime=0)
 
 
-def capture(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, first: int | None) -> bytes:
-    """The records of one capture; first is the page whose response has the payload, None if this one does."""
-    uri = [("WARC-Target-URI", "".join((url or "").split()))] if url and url.strip() else []
+def capture(row: int, page_id: int | None, url: str | None, payload: bytes, payload_digest: str, first: tuple[int | None, int] | None) -> bytes:
+    """The records of one capture; first is page_id and row of the response that has the payload, None if this one does.
+
+    White space within a url is written percent-encoded, as a header's line can't hold it.
+    """
+    uri = [("WARC-Target-URI", SPACES.sub(lambda m: quote(m[0]), url.strip()))] if url and url.strip() else []
     common = [("WARC-Date", DATE), *uri]
-    own = record_id("capture", page_id)
-    kind = [("WARC-Type", "response")] if first is None else [("WARC-Type", "revisit"), ("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id("capture", first))]
+    own = record_id("capture", page_id, row)
+    kind = [("WARC-Type", "response")] if first is None else [("WARC-Type", "revisit"), ("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id("capture", *first))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     main = record([*kind, ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("Content-Type", "application/http; msgtype=response")], http + (payload if first is None else b""))
-    request = record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page_id)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\n\r\n")
+    request = record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", page_id, row)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\n\r\n")
     meta = b"" if page_id is None else f"page-id: {page_id}\r\n".encode()
-    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page_id)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], meta)
+    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", page_id, row)), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], meta)
     return request + main + metadata
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        html = [(t or "").encode("utf-8", "surrogatepass") for t in column_of(batch, "html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([column_of(batch, "page_id"), pa.array([len(h) for h in html], pa.int64()), pa.array(list(map(digest, html)), pa.string())], ["page_id", "payload_bytes", "payload_digest"])
-
-
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, size, parts, captures = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -73,7 +75,7 @@ def _write(folder: str):
         def flush() -> pa.RecordBatch:
             nonlocal number, size, captures
             name = f"capture-{part:06d}-{number:06d}.warc.gz"
-            info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", part * 1_000_000 + number)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: plexora\r\n")
+            info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", part, number)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: plexora\r\n")
             write_file(folder, name, info + b"".join(parts))
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([captures], pa.int64())], ["name", "captures"])
             parts.clear()
@@ -82,9 +84,10 @@ def _write(folder: str):
 
         for whole in batches:
             for batch in slices(whole, name="html"):
-                for page_id, url, html, d, first in zip(*(column_of(batch, c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "first")), strict=True):
+                for row, page_id, url, html, sha, first, first_row in zip(*(column_of(batch, c).to_pylist() for c in ("_row", "page_id", "url", "html", "sha", "first", "first_row")), strict=True):
                     payload = html.encode("utf-8", "surrogatepass")
-                    parts.append(capture(page_id, url, payload, d, first))
+                    d = base64.b32encode(bytes.fromhex(sha)).decode()
+                    parts.append(capture(row, page_id, url, payload, d, None if first_row is None else (first, first_row)))
                     size, captures = size + len(payload), captures + 1
                     if size >= ARCHIVE_BYTES:
                         yield flush()
@@ -97,27 +100,31 @@ def _write(folder: str):
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes archives of all rows into folder; returns their names and numbers of captures.
 
-    Of rows with equal payloads of at least least_bytes bytes, those with the
-    smallest page_id are responses, the others revisits of it. A null html is an
-    empty payload. Rows with a null page_id are responses.
+    Of rows with equal payloads of at least least_bytes bytes, that with the smallest
+    page_id is a response, the others are revisits of it; a null page_id counts as the
+    largest, and of equal ones the first row is taken. A null html is an empty payload.
+    Payloads stay where they are, but for those of revisits.
     """
     ship(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    sums = rows.mapInArrow(_payloads, "page_id long, payload_bytes long, payload_digest string")
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = keyed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha")))
+    sums = rows.select("_row", "page_id", "sha", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least_bytes)
     # A payload of a third of all pages is one row per task after the partial minimum.
-    first = stored(sums.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("least"), F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("payload_bytes") >= least_bytes)), "payloads")
-    marked = stored(sums.join(first.select("payload_digest", "payload_bytes", "least"), ["payload_digest", "payload_bytes"]).where("page_id <> least").select("page_id", "payload_digest", F.col("least").alias("first")).distinct(), "revisits")
-    coded = rows.withColumn("payload_digest", _digest_column())
-    full = coded.join(marked, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_digest", "first")
-    return stored(full.mapInArrow(_write(folder), "name string, captures long"), "archives")
-
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")).alias("f")
+    first = sums.groupBy("sha", "bytes").agg(least, F.count("*").alias("k")).where("k > 1").select("sha", "bytes", F.col("f.page_id").alias("first"), F.col("f._row").alias("first_row"))
+    marked = stored(sums.join(first, ["sha", "bytes"]).where("_row <> first_row").select("_row", "first", "first_row"), "revisits")
+    shared = pages.sparkSession.sparkContext.broadcast(bloom(marked.select("_row"), marked.count()))
 
-def _digest_column():
-    @F.pandas_udf("string")
-    def of(html):  # noqa: ANN001, ANN202
-        return html.map(lambda t: digest(t.encode("utf-8", "surrogatepass")))
+    @F.pandas_udf("boolean")
+    def perhaps(row: pd.Series) -> pd.Series:
+        return pd.Series(shared.value(row.to_numpy().astype(np.int64)))
 
-    return of("html")
+    none = F.lit(None).cast("long")
+    alone = rows.where(~perhaps("_row")).withColumn("first", none).withColumn("first_row", none)
+    others = rows.where(perhaps("_row")).join(marked, "_row", "left").sortWithinPartitions("_row")  # in order: a task that runs again writes the same files
+    out = stored(alone.unionByName(others).mapInArrow(_write(folder), "name string, captures long"), "archives")
+    discard(rows, marked)
+    return out
 
 
 def unzipped(data: bytes) -> bytes:
@@ -212,8 +219,9 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes the pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
     page_id and refers_to (the page of the response that a revisit names) come from
-    the assembled records. Rows with equal page_id get one record id and so one row.
-    An empty table gives no rows.
+    the assembled records. Every row of pages gives a row, those with a null
+    or repeated page_id too. Payloads of any length are written whole; an empty table
+    gives no rows.
     """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
