@@ -7,7 +7,9 @@ automata of its terms; its deterministic states are made as words need them, so
 word costs one lookup per letter. Hits inside quotation marks or after a word of
 reporting count apart, so that quoting a term weighs less than using it. A
 logistic model over the few hit features, fitted on rows that the lexicon was
-not learned from, gives the score.
+not learned from, gives the score. Labelled texts hardly misspell or quote terms, so
+each toxic one of these rows is also given with its terms misspelled, as a toxic
+text, and with its terms quoted, as a clean one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import column_of, doc_text, labelled_sample, slices, stored, texts_of
+from plexora.llm.common import column_of, doc_text, labelled_sample, rows_where, slices, stored, texts_of
 from plexora.llm.ngram_join import Shingler
 
 #: Bounds of what is learned: sampled rows per label value, lexicon entries.
@@ -205,7 +207,7 @@ class Matcher:
 
 
 def quoted(words: list[str], k: int) -> bool:
-    """Whether the word stands between quotation marks, or a word of reporting just before it."""
+    """Whether the word stands between quotation marks: one is open before it and one follows, or one stands before it after a word of reporting."""
     before, after = words[max(0, k - WINDOW) : k], words[k + 1 : k + 1 + WINDOW]
     opened = sum(w.count(q) for w in before for q in QUOTES) + sum(q in words[k][:1] for q in QUOTES)
     closed = sum(w.count(q) for w in after for q in QUOTES) + sum(q in words[k][-2:] for q in QUOTES)
@@ -276,18 +278,46 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
     return stored(rows.groupBy("bag", "y").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).drop("bag"), "distinct")
 
 
-def _described(model):
+def misspelled(word: str) -> str:
+    """The second letter replaced, the same way each time, so that no word beginning of the lexicon is left."""
+    return word[:1] + ("q" if word[1:2] != "q" else "x") + word[2:]
+
+
+def changed(words: list[str], hits: list[tuple[int, str, float, bool]], model: ToxicityModel) -> tuple[list[str], list[str]]:
+    """The text with its terms misspelled, as far as they are searched with edits, and with its terms quoted."""
+    other, cited = list(words), list(words)
+    for k, term, _, _ in hits:
+        if term in model.words and allowed_edits(term):
+            other[k] = misspelled(term)
+        cited[k] = f'said "{words[k]}"'
+    return other, " ".join(cited).split()
+
+
+def _described(model, more: bool = False):
+    """Per text its features and the words taken for misspelled terms; with more, also rows for toxic texts with terms misspelled (label 1) and quoted (0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.value)
         for whole in batches:
             for batch in slices(whole):
-                out, near = [], []
-                for t in texts_of(batch):
-                    words = t.split()
+                label, out, near = [], [], []
+
+                def add(y: int, words: list[str]) -> list[tuple[int, str, float, bool]]:
                     hits = matcher(words)
+                    label.append(y)
                     out.append(features(words, hits))
                     near.append(sorted({plain(words[k]) for k, _, _, fuzzy in hits if fuzzy}))
-                yield pa.RecordBatch.from_arrays([column_of(batch, "y"), pa.array(out, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string()))], ["y", "x", "near"])
+                    return hits
+
+                for t, y in zip(texts_of(batch), column_of(batch, "y").to_pylist(), strict=True):
+                    words = t.split()
+                    hits = add(y, words)
+                    if more and y == 1 and hits:
+                        other, cited = changed(words, hits, model.value)
+                        if other != words:
+                            add(1, other)
+                        add(0, cited)
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(out, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string()))], ["y", "x", "near"])
 
     return run
 
@@ -315,41 +345,63 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     # Words that clean texts of the lexicon's part use are no misspellings; the sample bounds them.
     near = sample.where(~rest & (F.col("y") == 0)).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model)), "y int, x array<double>, near array<string>")
     model.clean = frozenset(r["w"] for r in near.select(F.explode("near").alias("w")).distinct().collect())
-    rows = sample.where(rest).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model)), "y int, x array<double>, near array<string>").select("y", "x").toPandas()
+    rows = sample.where(rest).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model), more=True), "y int, x array<double>, near array<string>").select("y", "x").toPandas()
     if rows["y"].nunique() < 2:
         return model
     x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy(dtype=float)
     center, scale = x.mean(0), np.maximum(x.std(0), 0.05)
     w, b = logistic((x - center) / scale, y)
-    w[4:6] = np.maximum(w[4:6], 0)  # a misspelled term is never a sign of a clean text
+    w[:6] = np.maximum(w[:6], 0)  # a term, misspelled or not, is never a sign of a clean text,
+    w[6] = min(w[6], 0)  # and a quoted one never of a toxic one
     model.center, model.scale, model.weights, model.bias = center.tolist(), scale.tolist(), w.tolist(), b
     return model
 
 
+class Scorer:
+    """texts -> (scores, the different terms met in each)."""
+
+    def __init__(self, model: ToxicityModel) -> None:
+        self.model, self.matcher = model, Matcher(model)
+        self.center, self.scale, self.weights = map(np.array, (model.center, model.scale, model.weights))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, list[list[str]]]:
+        z, terms = np.empty(len(texts)), []
+        for k, t in enumerate(texts):
+            words = t.split()
+            hits = self.matcher(words)
+            z[k] = float((np.array(features(words, hits)) - self.center) / self.scale @ self.weights) + self.model.bias
+            terms.append(sorted({h[1] for h in hits}))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), terms
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        matcher = Matcher(model)
-        center, scale, weights = map(np.array, (model.center, model.scale, model.weights))
+        scorer = Scorer(shared.value)
         for whole in batches:
             for batch in slices(whole):
-                score, terms = [], []
-                for t in texts_of(batch):
-                    words = t.split()
-                    hits = matcher(words)
-                    z = float((np.array(features(words, hits)) - center) / scale @ weights) + model.bias
-                    score.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-                    terms.append(sorted({h[1] for h in hits}))
+                score, terms = scorer(texts_of(batch))
                 yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(score, pa.float64()), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "score", "terms"])
 
     return run
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, whole, that score below the threshold. One pass; rows with equal or null ids are judged each."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_ENTRIES entries
+
+    def judge():  # noqa: ANN202
+        scorer = Scorer(shared.value)
+        return lambda texts: scorer(texts)[0] < threshold
+
+    return rows_where(docs, judge)
+
+
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score, terms) of every row: the score in 0..1 and the different lexicon terms that were met.
 
-    Null and empty texts have the score of a text without hits; equal rows are
-    scored each; other columns are ignored.
+    Null and empty texts have the score of a text without hits; texts are read whole,
+    however long they are; equal rows and rows with a null id are scored each; other
+    columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_ENTRIES entries
     return doc_text(docs).mapInArrow(_scored(shared), "doc_id long, score double, terms array<string>")
