@@ -1,12 +1,15 @@
 """Rejects documents whose statistics are multivariate outliers within their language and source.
 
-Every document becomes a vector of transformed statistics. Per group (language
-and source, or the language, or all, whichever is the first with enough rows)
+Every document becomes a vector of transformed statistics. Per language and source
 location and scatter are the minimum-covariance-determinant estimate: starting
 from medians and quartile ranges, each concentration step keeps the share
 ``KEPT`` of the group's rows with the smallest distances and takes their mean
-and covariance, until an estimate comes again. A row is rejected when its squared Mahalanobis distance exceeds
-``cutoff``.
+and covariance, until an estimate comes again; then all rows within the 0.975
+quantile are taken once more. The same is estimated per language and over all rows,
+and each group's estimate is drawn to that of its language, that to the one of all
+rows, and that to a wide prior, as if ``PRIOR`` rows of it had been seen: the fewer
+rows a group has the more, without a size at which something else holds. A row is
+rejected when its squared Mahalanobis distance exceeds ``cutoff``.
 
 A step needs one pass over the small table of vectors: rows are counted and
 summed by (group, distance bin), combined before the shuffle, and the estimate
@@ -35,8 +38,8 @@ FEATURES = {"x_length": 0.08, "x_symbols": 0.08, "x_lines": 0.20, "x_repeats": 0
 P = len(FEATURES)
 #: Share of rows that the estimate is made of; bins per doubling of the distance.
 KEPT, BINS = 0.75, 16
-#: Rows that an estimate needs, ten a statistic: smaller groups take their language's estimate, or that of all rows; with fewer in all there is no verdict.
-LEAST = 10 * P
+#: Rows that the estimate above a group counts as, ten a statistic; least deviations that the prior of all rows has as its own.
+PRIOR, WIDE = 10 * P, 4
 
 
 def _chi2_below(x: float, p: int) -> float:
@@ -58,6 +61,9 @@ def _chi2_quantile(share: float, p: int) -> float:
 
 #: Makes the scatter of the kept share consistent for normal data.
 SCALE = KEPT / _chi2_below(_chi2_quantile(KEPT, P), P + 2)
+#: The quantile up to which rows count in the last step, and the scale that goes with it.
+NEAR = _chi2_quantile(0.975, P)
+RESCALE = 0.975 / _chi2_below(NEAR, P + 2)
 #: The default cutoff: chi-square quantile at 1 - 1e-9.
 CUTOFF = _chi2_quantile(1 - 1e-9, P)
 
@@ -104,31 +110,67 @@ def _inverse(cov: np.ndarray) -> list[float]:
     return [float(inv[i, j] * (1 if i == j else 2)) for i, j in PAIRS]
 
 
+def _row(grp: str, n: float, mu: np.ndarray, cov: np.ndarray) -> tuple:
+    return grp, float(n), [float(v) for v in mu], [float(cov[i, j]) for i, j in PAIRS], _inverse(cov)
+
+
+def _matrix(upper: list[float]) -> np.ndarray:
+    cov = np.zeros((P, P))
+    for v, (i, j) in zip(upper, PAIRS, strict=True):
+        cov[i, j] = cov[j, i] = v
+    return cov
+
+
 def _start(row_medians: pd.DataFrame) -> pd.DataFrame:
     """The first estimate of a group: medians and quartile ranges, no correlation."""
     out = []
     for r in row_medians.itertuples(index=False):
         q = np.array([list(getattr(r, f"q_{x}")) for x in NAMES]) / UNIT
-        sd = (q[:, 2] - q[:, 0]) / 1.349
-        out.append((r.grp, [float(v) for v in q[:, 1]], _inverse(np.diag(sd**2))))
-    return pd.DataFrame(out, columns=["grp", "mu", "inv"])
+        out.append(_row(r.grp, r.n, q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2)))
+    return pd.DataFrame(out, columns=COLUMNS)
+
+
+def _moments(part: pd.DataFrame, scale: float) -> pd.DataFrame:
+    """Mean and covariance from sums, exact up to the last division."""
+    n = float(part["k"].sum())
+    mu = np.array([float(part[f"s_{i}"].sum()) for i in range(P)]) / n
+    cov = _matrix([float(part[f"s_{i}_{j}"].sum()) / n - mu[i] * mu[j] for i, j in PAIRS])
+    return pd.DataFrame([_row(part["grp"].iloc[0], n, mu / UNIT, cov * scale / UNIT**2)], columns=COLUMNS)
 
 
 def _concentrate(bins: pd.DataFrame) -> pd.DataFrame:
     """The next estimate of one group from its bins."""
     bins = bins.sort_values("bin")
     k = bins["k"].cumsum().to_numpy()
-    last = int(np.searchsorted(k, KEPT * k[-1]))
-    part = bins.iloc[: last + 1]
-    n = float(part["k"].sum())
-    mu = np.array([float(part[f"s_{i}"].sum()) for i in range(P)]) / n
-    cov = np.zeros((P, P))
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = float(part[f"s_{i}_{j}"].sum()) / n - mu[i] * mu[j]
-    return pd.DataFrame([(bins["grp"].iloc[0], (mu / UNIT).tolist(), _inverse(cov * SCALE / UNIT**2))], columns=["grp", "mu", "inv"])
+    return _moments(bins.iloc[: int(np.searchsorted(k, KEPT * k[-1])) + 1], SCALE)
 
 
-ESTIMATE = "grp string, mu array<double>, inv array<double>"
+def _reweighted(bins: pd.DataFrame) -> pd.DataFrame:
+    return _moments(bins, RESCALE)
+
+
+def drawn(n: float, mu: np.ndarray, cov: np.ndarray, to_mu: np.ndarray, to_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of n rows of the one and PRIOR rows of the other estimate together."""
+    w = n / (n + PRIOR)
+    d = mu - to_mu
+    return w * mu + (1 - w) * to_mu, w * cov + (1 - w) * to_cov + w * (1 - w) * np.outer(d, d)
+
+
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, source, mu, inv) from the sizes and estimates of a group, its language and all rows."""
+    prior = np.diag((WIDE * np.array(list(FEATURES.values()))) ** 2)
+    for rows in batches:
+        out = []
+        for r in rows.itertuples(index=False):
+            mu, cov = np.array(r.all_mu), prior
+            for n, own_mu, own_cov in ((r.all_n, r.all_mu, r.all_cov), (r.lang_n, r.lang_mu, r.lang_cov), (r.own_n, r.own_mu, r.own_cov)):
+                mu, cov = drawn(n, np.array(own_mu), _matrix(own_cov), mu, cov)
+            out.append((r.lang, r.source, mu.tolist(), _inverse(cov)))
+        yield pd.DataFrame(out, columns=["lang", "source", "mu", "inv"])
+
+
+COLUMNS = ["grp", "n", "mu", "cov", "inv"]
+ESTIMATE = "grp string, n double, mu array<double>, cov array<double>, inv array<double>"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -145,19 +187,22 @@ def base_failed(least_words: int = 50, repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
-def mcd(rows: DataFrame) -> DataFrame:
-    """(grp, mu, inv) per group of rows(grp, *FEATURES).
+def _sums() -> list[Column]:
+    return [F.count("*").alias("k"), *(F.sum(x).alias(f"s_{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, j in PAIRS)]
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """(grp, n, mu, cov, inv) per group of rows(grp, *FEATURES), from the n rows of its last step.
 
     A group's steps end when an estimate comes again: it stands still, or, as bins
     are kept whole, it is the first of a circle. Sums are exact, so this is exact too.
     """
     quartiles = [F.expr(f"percentile({x}, array(0.25, 0.5, 0.75))").alias(f"q_{x}") for x in NAMES]  # of at most some thousand values
-    estimate = stored(rows.groupBy("grp").agg(*quartiles).mapInPandas(lambda it: map(_start, it), ESTIMATE), "mcd")
+    estimate = stored(rows.groupBy("grp").agg(F.count("*").cast("double").alias("n"), *quartiles).mapInPandas(lambda it: map(_start, it), ESTIMATE), "mcd")
     bin_of = F.floor(BINS * F.log2(_distance() + 2.0**-12)).cast("int")
-    sums = [F.count("*").alias("k"), *(F.sum(x).alias(f"s_{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, j in PAIRS)]
     seen, moving, still = estimate, estimate, []
     while not moving.isEmpty():
-        bins = rows.join(moving, "grp").groupBy("grp", bin_of.alias("bin")).agg(*sums)
+        bins = rows.join(moving, "grp").groupBy("grp", bin_of.alias("bin")).agg(*_sums())
         new = stored(bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE), "mcd")
         still.append(new.join(seen, ["grp", "mu", "inv"], "left_semi"))
         moving = stored(new.join(seen, ["grp", "mu", "inv"], "left_anti"), "mcd")
@@ -165,25 +210,32 @@ def mcd(rows: DataFrame) -> DataFrame:
     return stored(reduce(DataFrame.unionByName, still, estimate.limit(0)), "mcd")
 
 
+def mcd(rows: DataFrame) -> DataFrame:
+    """The same from all rows near the concentrated estimate, n the group's size."""
+    raw = concentrated(rows)
+    near = rows.join(raw, "grp").where(_distance() <= NEAR).groupBy("grp").agg(*_sums())
+    last = stored(near.groupBy("grp").applyInPandas(_reweighted, ESTIMATE).drop("n"), "mcd")
+    return last.join(rows.groupBy("grp").agg(F.count("*").cast("double").alias("n")), "grp").select(*COLUMNS)
+
+
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, grp, kept.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     kept is false for rows that fail the base rules, else whether the squared
     distance is at most the cutoff. Null texts are empty, so they fail the base
-    rules; null languages and sources are a group of their own; equal rows are
-    rows of their own; other columns are ignored. Where no group is large enough
-    (an empty or tiny table) distance is null and nothing but the base rules rejects.
+    rules; a null language or source counts as the empty one; texts are read whole,
+    however long they are; equal rows and rows with a null id are rows of their own;
+    other columns are ignored; an empty table gives no rows.
     """
     rows = stored(statistics(docs).withColumn("base_failed", base_failed()), "statistics")
-    sizes = stored(rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("k")), "sizes")
-    by_lang = sizes.groupBy("lang").agg(F.sum("k").alias("lang_k"))
-    total = sizes.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    by_all = F.lit("all") if total >= LEAST else F.lit(None).cast("string")
-    own = F.concat(F.lit("source "), F.to_json(F.array("lang", "source")))
-    group = F.when(F.col("k") >= LEAST, own).when(F.col("lang_k") >= LEAST, F.concat(F.lit("lang "), "lang")).otherwise(by_all)
-    groups = stored(sizes.join(by_lang, "lang").select("lang", "source", group.alias("grp")), "groups")
-    rows = stored(rows.join(groups, ["lang", "source"], "left"), "grouped")
-    estimate = mcd(rows.where("not base_failed and grp is not null"))
-    scored = rows.join(estimate, "grp", "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), "grp", kept.alias("kept"))
+    by = {"all": F.lit("all"), "lang": F.concat(F.lit("lang "), "lang"), "own": F.concat(F.lit("source "), F.to_json(F.array("lang", "source")))}
+    good = rows.where("not base_failed")
+    found = mcd(good.select(F.explode(F.array(*by.values())).alias("grp"), *NAMES))
+    groups = good.select("lang", "source").distinct()
+    for name, grp in by.items():
+        own = found.select(F.col("grp").alias("_grp"), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "mu", "cov")])
+        groups = groups.join(own, grp == F.col("_grp")).drop("_grp")
+    estimate = stored(groups.mapInPandas(_combined, "lang string, source string, mu array<double>, inv array<double>"), "estimates")
+    scored = rows.join(estimate, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
