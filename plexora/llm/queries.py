@@ -35,7 +35,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("grp", "distance")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_candidates", F.array_join("licenses", ",").alias("licenses"), "unknown_wording")
+    return found.select("doc_id", "n_candidates", F.array_join("licenses", ",").alias("licenses"), "unknown_wording", F.to_json("findings").alias("findings"))
 
 
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def _op6_sql() -> str:
         f"    WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.rule}'" for r in sorted(POLICY.rules, key=lambda r: -len(r.rule))
     )
     verdict = " ".join(f"WHEN '{r.rule}' THEN '{r.verdict}'" for r in POLICY.rules)
-    soft = " + ".join(f"CAST({met(t)} AS INT)" for t in POLICY.soft)
+    soft = " + ".join(f"{w} * CAST({met(t)} AS INT)" for t, w in POLICY.soft.items())
     strict = " OR ".join(met(t) for t in POLICY.strict)
     return f"""
 WITH a AS (SELECT page_id, {url} AS u, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

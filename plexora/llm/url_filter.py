@@ -1,4 +1,8 @@
-"""URL verdicts from host and path rules, else from weighted vocabularies found by Aho-Corasick."""
+"""URL verdicts from host and path rules, else from weighted vocabularies found by Aho-Corasick.
+
+One strict term rejects. Soft terms weigh 1 or 2, each different one once, and reject
+from a sum of 3, so by two or three different ones.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,21 @@ from pyspark.sql import functions as F
 
 from plexora.llm.common import column_of, ship
 
-#: Terms that reject alone, and terms that reject when several different ones are met.
-STRICT = tuple("porn xxx xvideos hentai milf camgirl escort bestiality casino sportsbook warez keygen malware phishing".split())
-SOFT = tuple("adult sex nude dating bet betting poker jackpot slots loan payday viagra cialis pills replica torrent crack free cheap hot girls live cam".split())
+#: Terms that reject alone, in four languages.
+STRICT = tuple(
+    "porn porno pornos xxx xvideos hentai milf camgirl camgirls escort escorts bestiality casino casinos sportsbook warez keygen keygens malware phishing "
+    "escorte prostituee sodomie putes hure huren sexkontakte nutten spielhalle putas prostitutas pornografia casas-de-apuestas".split()
+)
+#: Terms that say much (weight 2) and little (weight 1) when several different ones are met, in four languages.
+STRONG = tuple(
+    "adult sex nude nudes betting poker jackpot slots payday viagra cialis torrent torrents crack cracked "
+    "nue nues paris-sportifs sexe erotique nackt erotik wetten gluecksspiel desnuda desnudas sexo apuestas tragaperras".split()
+)
+WEAK = tuple(
+    "dating bet loan loans pills replica free cheap hot girls live cam cams bonus win "
+    "rencontre gratuit filles pas-cher credit kostenlos billig kredit maedchen kontakte gratis barato chicas prestamo citas".split()
+)
+SOFT = dict.fromkeys(WEAK, 1) | dict.fromkeys(STRONG, 2)
 
 
 @dataclass(frozen=True)
@@ -34,8 +50,8 @@ class Rule:
 class UrlPolicy:
     rules: tuple[Rule, ...] = ()
     strict: tuple[str, ...] = STRICT
-    soft: tuple[str, ...] = SOFT
-    soft_needed: int = 2
+    soft: dict[str, int] = field(default_factory=lambda: dict(SOFT), hash=False)
+    soft_needed: int = 3  # more than any one soft term weighs
     by_host: dict[str, list[Rule]] = field(default_factory=dict, hash=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -91,7 +107,7 @@ class UrlFilter:
         host, path = split_url(url)
         rule = self.rule(host, path)
         strict, soft = self.terms(url or "")
-        bad = bool(strict) or len(soft) >= self.policy.soft_needed
+        bad = bool(strict) or sum(self.policy.soft[t] for t in soft) >= self.policy.soft_needed
         return host, path, rule.rule if rule else None, rule.verdict if rule else "block" if bad else "allow", strict, soft
 
 
@@ -111,7 +127,7 @@ def url_filter(pages: DataFrame, policy: UrlPolicy) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), strict_terms, soft_terms of every row.
 
     A url that is null or has no :// has an empty host and path and fits no rule;
-    its text is still searched for terms. Equal rows are judged each; only page_id
+    its text is still searched for terms, however long it is. Equal rows are judged each, and so are rows with a null page_id; only page_id
     and url are read.
     """
     ship(pages.sparkSession)
