@@ -8,10 +8,11 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,41 @@ def bloom(keys: DataFrame, count: int) -> Bloom:
     return Bloom(bits)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """A stored copy of docs with the column _row, another number for each row whatever its other columns hold."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def rows_without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of keyed docs whose _row isn't in the column of dropped, without _row.
+
+    Rows that a filter of the dropped ones doesn't know stay where they are; only those
+    that it lets pass, the dropped rows and about one in a hundred others, are joined.
+    """
+    dropped = stored(dropped.toDF("_row"), "dropped")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(dropped, dropped.count()))
+
+    @F.pandas_udf("boolean")
+    def perhaps(row: pd.Series) -> pd.Series:
+        return pd.Series(shared.value(row.to_numpy().astype(np.int64)))
+
+    some = docs.where(perhaps("_row")).join(dropped, "_row", "left_anti")
+    return docs.where(~perhaps("_row")).unionByName(some).drop("_row")
+
+
+def rows_where(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows of docs whose text the judge (made once a task) keeps; null texts are judged as empty ones, nothing is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for whole in batches:
+            for batch in slices(whole):
+                yield batch.filter(pa.array(keeps([t or "" for t in texts_of(batch)]), pa.bool_()))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size; only used to size partitions."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import BROADCAST_BYTES, HashCache, column_of, doc_text, mix64, slices, stored, texts_of
+from plexora.llm.common import BROADCAST_BYTES, HashCache, column_of, doc_text, keyed, mix64, rows_where, rows_without, slices, stored, texts_of
 
 #: Words of a window, of a fingerprinted k-gram, and hashes a winnowing window has.
 SPAN, K = 10, 5
@@ -173,24 +173,29 @@ def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _judged(passages: Passages, texts: list[str], hash_of: HashCache) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Words, words in hits, and items of each text."""
+    flat, starts, ends = _packed(texts, hash_of)
+    a, b, o = passages.hits(flat)
+    doc = np.searchsorted(starts, a, side="right") - 1
+    found: dict[int, list[int]] = {}
+    for k, d in enumerate(doc.tolist()):
+        found.setdefault(d, []).append(k)
+    n_hit, items = np.zeros(len(texts), dtype=np.int64), [[] for _ in texts]
+    for d, ks in found.items():
+        n_hit[d] = _covered([(int(a[k]), int(b[k])) for k in ks])
+        items[d] = sorted({str(passages.ids[o[k]]) for k in ks})
+    return ends - starts, n_hit, items
+
+
 def _one_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages, hash_of = shared.value, HashCache()
         for whole in batches:
             for batch in slices(whole):
-                flat, starts, ends = _packed(texts_of(batch), hash_of)
-                a, b, o = passages.hits(flat)
-                doc = np.searchsorted(starts, a, side="right") - 1
-                found: dict[int, list[int]] = {}
-                for k, d in enumerate(doc.tolist()):
-                    found.setdefault(d, []).append(k)
-                rows = batch.num_rows
-                n_hit, items = np.zeros(rows, dtype=np.int64), [[] for _ in range(rows)]
-                for d, ks in found.items():
-                    n_hit[d] = _covered([(int(a[k]), int(b[k])) for k in ks])
-                    items[d] = sorted({str(passages.ids[o[k]]) for k in ks})
+                n_words, n_hit, items = _judged(passages, texts_of(batch), hash_of)
                 yield pa.RecordBatch.from_arrays(
-                    [column_of(batch, "doc_id"), pa.array(ends - starts), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(list(map(items_digest, items))), pa.array(n_hit > 0)], NAMES
+                    [column_of(batch, "doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(list(map(items_digest, items))), pa.array(n_hit > 0)], NAMES
                 )
 
     return run
@@ -282,10 +287,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     nowhere. Items with equal texts each count. Equal documents are rows each;
     other columns are ignored. Rows of the benchmark with a null id are left out.
     """
-    docs = doc_text(docs)
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    if size > broadcast_bytes:
+    docs, items = doc_text(docs), _items(benchmark)
+    passages = _passages(items, broadcast_bytes)
+    if passages is None:
         return _joined(docs, items)
-    passages = Passages([(r["item_id"], r["text"]) for r in items.distinct().orderBy("item_id", "text").collect()])
     return docs.mapInArrow(_one_pass(docs.sparkSession.sparkContext.broadcast(passages)), SCHEMA)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def _passages(items: DataFrame, broadcast_bytes: int) -> Passages | None:
+    """The items' words and fingerprints, where they fit the bound."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return None if size > broadcast_bytes else Passages([(r["item_id"], r["text"]) for r in items.distinct().orderBy("item_id", "text").collect()])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs, whole, that hold no window of a benchmark item; rows with equal or null ids are judged each."""
+    items = _items(benchmark)
+    passages = _passages(items, broadcast_bytes)
+    if passages is None:
+        rows = keyed(docs)
+        found = _joined(doc_text(rows.withColumn("doc_id", F.col("_row"))), items)
+        return rows_without(rows, found.where("contaminated").select("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(passages)
+
+    def judge():  # noqa: ANN202
+        hash_of = HashCache()
+        return lambda texts: _judged(shared.value, texts, hash_of)[1] == 0
+
+    return rows_where(docs, judge)

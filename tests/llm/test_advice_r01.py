@@ -7,7 +7,7 @@ import pandas as pd
 
 from plexora.llm import toxicity
 from plexora.llm.licenses import TEMPLATES, LicenseScanner, license_scan
-from plexora.llm.quality_rules import BINS, FEATURES, PAIRS, _concentrate, mcd, quality_rules
+from plexora.llm.quality_rules import BINS, CUTOFF, FEATURES, NEAR, PAIRS, RESCALE, _concentrate, concentrated, quality_rules, statistics
 from plexora.llm.token_files import CELLS, LEAST, _pairs_of, expand, re_pair, replaced_pairs
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -97,13 +97,51 @@ def test_toxicity_searches_misspellings_of_every_lexicon_word():
     assert matcher.match("grum-qock") == ("grum-pock", 2.1, True)
 
 
-def test_quality_groups_of_a_source_have_their_own_estimate(spark):
+def distances(x, mu, cov):
+    floors = np.array(list(FEATURES.values()))
+    sd = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), floors)
+    cov = cov + np.diag(sd**2 - np.diag(cov))
+    d = x - mu
+    return np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d)
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """Groups of several sizes: estimates are reweighted, drawn to those above, and the verdict is that of the distance."""
     rnd = random.Random(8)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(3000)]
-    rows = [(k, ". ".join(" ".join(rnd.choices(words, k=12)) for _ in range(rnd.randint(6, 20))), "en", "ab"[k % 2] if k < 140 else "c") for k in range(160)]
-    got = quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert {r.grp for r in got if r.doc_id < 140} == {'source ["en","a"]', 'source ["en","b"]'} and {r.grp for r in got if r.doc_id >= 140} == {"lang en"}
-    assert all(r.kept for r in got)
+    rows = [(k, ". ".join(" ".join(rnd.choices(words, k=12)) for _ in range(rnd.randint(6, 20))), "en" if k < 150 else "de", "ab"[k % 2] if k < 140 else "c") for k in range(160)]
+    rows += [(200, " ".join(w + "###" for w in rnd.choices(words, k=90)), "en", "a"), (201, " ".join(w.upper() for w in rnd.choices(words, k=90)), "de", "c")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stats = {r.doc_id: r for r in statistics(docs).collect()}
+    x = {k: np.array([r[n] for n in FEATURES]) / 1024 for k, r in stats.items()}
+    groups = {"all": list(x)}
+    for k, _, lang, source in rows:
+        groups.setdefault(lang, []).append(k)
+        groups.setdefault((lang, source), []).append(k)
+    named = [(str(g), *(int(v * 1024) for v in x[k])) for g, ks in groups.items() for k in ks]
+    raw = {r.grp: r for r in concentrated(spark.createDataFrame(named, "grp string, " + ", ".join(f"{n} long" for n in FEATURES))).collect()}
+
+    def matrix(upper):
+        cov = np.zeros((6, 6))
+        for v, (i, j) in zip(upper, PAIRS, strict=True):
+            cov[i, j] = cov[j, i] = v
+        return cov
+
+    def estimate(g):
+        own = np.array([x[k] for k in groups[g]])
+        near = own[distances(own, np.array(raw[str(g)].mu), matrix(raw[str(g)].cov)) <= NEAR]
+        return len(own), near.mean(0), np.cov(near.T, bias=True) * RESCALE
+
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    for k, _, lang, source in rows:
+        cov, mu = np.diag((4 * np.array(list(FEATURES.values()))) ** 2), estimate("all")[1]
+        for g in ("all", lang, (lang, source)):
+            n, own, own_cov = estimate(g)
+            w = n / (n + 60)
+            cov, mu = w * own_cov + (1 - w) * cov + w * (1 - w) * np.outer(own - mu, own - mu), w * own + (1 - w) * mu
+        d = distances(x[k][None], mu, cov)[0]
+        assert abs(got[k].distance - d) < 1e-6 * (1 + d) and got[k].kept == (d <= CUTOFF)
+    assert all(got[k].kept for k in range(160)) and not got[200].kept and not got[201].kept
 
 
 def test_quality_estimate_stands_still(spark):
@@ -112,7 +150,7 @@ def test_quality_estimate_stands_still(spark):
     x[:60] += 9000
     names = list(FEATURES)
     rows = spark.createDataFrame([("g", *map(int, r)) for r in x], "grp string, " + ", ".join(f"{n} long" for n in names)).cache()
-    e = mcd(rows).collect()
+    e = concentrated(rows).collect()
     assert len(e) == 1
 
     def step(mu, inv):
@@ -122,7 +160,7 @@ def test_quality_estimate_stands_still(spark):
             dist = dist + inv[k] * d[:, i] * d[:, j]
         bins = pd.DataFrame({"grp": "g", "bin": np.floor(BINS * np.log2(np.maximum(dist, 0) + 2.0**-12)).astype(int), "k": 1, **{f"s_{i}": x[:, i] for i in range(6)}, **{f"s_{i}_{j}": x[:, i] * x[:, j] for i, j in PAIRS}})
         out = _concentrate(bins.groupby(["grp", "bin"], as_index=False).sum()).iloc[0]
-        return out.mu, out.inv
+        return out["mu"], out["inv"]
 
     at, seen = (e[0].mu, e[0].inv), []
     for _ in range(20):  # the estimate comes again: at once, or after a circle

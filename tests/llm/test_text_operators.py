@@ -316,6 +316,14 @@ def test_toxicity_learns_terms_and_finds_misspelled_ones(spark):
     assert more[0].terms == ["krumpot", "zzulgar"] and more[1].score == more[2].score < 0.7
     assert toxicity.toxicity(documents(spark, []), model).count() == 0 and toxicity.toxicity(odd(spark), model).count() == 9
     assert toxicity.fit(docs, labels.limit(0), "y").words == {}
+    score = lambda t: toxicity.Scorer(model)([t])[0][0]
+    rest = " abc" * 40
+    used, near, cited, none = (score(t + rest) for t in ("krumpot zzulgar", "kqumpot zqulgar", 'he said "krumpot" and "zzulgar"', "kind words"))
+    assert used > 0.7 and near > 0.7 and cited < 0.5 and none < 0.5 and cited < near
+    assert max(model.weights[4:6]) > 0 > model.weights[6]
+    x = np.array(toxicity.features("krumpot abc".split(), toxicity.Matcher(model)("krumpot abc".split())))  # by hand
+    z = sum((a - c) / s * w for a, c, s, w in zip(x, model.center, model.scale, model.weights, strict=True)) + model.bias
+    assert score("krumpot abc") == pytest.approx(1 / (1 + np.exp(-z)))
 
 
 def test_trie_automaton_equals_edit_distance():
@@ -352,13 +360,14 @@ def test_pairwise_quality_separates(spark):
 
 def test_url_filter_rules_and_terms(spark):
     policy = url_filter.UrlPolicy((url_filter.Rule("allow", "org/"), url_filter.Rule("block", "example.org/es/")))
-    urls = [None, "", "no scheme/porn", "http://A.Example.ORG/es/x?q", "http://a.org/porn", "https://x.com/best-porn", "https://x.com/sportporn", "https://x.com/free/poker", "https://x.com/free/free", "http://x.org", "http://evilorg/"]
+    urls = [None, "", "no scheme/porn", "http://A.Example.ORG/es/x?q", "http://a.org/porn", "https://x.com/best-porn", "https://x.com/sportporn", "https://x.com/free/poker", "https://x.com/free/free", "http://x.org", "http://evilorg/", "https://x.de/billig/kredit", "https://x.de/Erotik-billig", "https://x.de/Erotik-billig"]
     pages = spark.createDataFrame([(k, u, "rule") for k, u in enumerate(urls)], "page_id long, url string, rule string")
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, policy).orderBy("page_id").collect()]
     assert got[0] == got[1] == ("", "", None, "allow") and got[2] == ("", "", None, "block")
     assert got[3] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[4][2:] == ("org/", "allow")
     assert [g[3] for g in got[5:9]] == ["block", "allow", "block", "allow"]
     assert got[9] == ("x.org", "", None, "allow") and got[10][2] is None
+    assert [g[3] for g in got[11:]] == ["allow", "block", "block"]  # equal urls are judged each
     assert url_filter.url_filter(pages.limit(0), policy).count() == 0
 
 
@@ -369,6 +378,11 @@ def test_warc_round_trip(spark):
     assert got == {10: (0, "response", None), 11: (0, "revisit", 10), 12: (8, "response", None), 13: (8, "revisit", 12), 14: (10000, "response", None), 15: (15, "response", None), 16: (8, "revisit", 12)}
     assert {r.page_id for r in warc_round_trip(pages, 9).where("record_type = 'response'").collect()} == set(range(10, 17))
     assert warc_round_trip(pages.limit(0)).count() == 0
+    again = spark.createDataFrame([(1, "http://x/a b", "p"), (1, "http://x/2", "p"), (None, "http://x/3", "p"), (None, "http://x/4", "q"), (1, None, "q"), (2, "u", "z" * 3_000_000)], "page_id long, url string, html string")
+    rows = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.url) for r in warc_round_trip(again).collect()), key=str)
+    assert [r[:4] for r in rows if r[1] != 1] == [(2, 3_000_000, "response", None)] and len(rows) == 6
+    assert sorted(r[2] for r in rows if r[0] is None) == ["revisit"] * 2 and all(r[3] == 1 for r in rows if r[2] == "revisit")
+    assert sum(r[2] == "response" for r in rows) == 3 and any(r[4] == "http://x/a%20b" for r in rows)
 
 
 def test_warc_assembly_joins_records_wherever_they_stand(spark, tmp_path):
