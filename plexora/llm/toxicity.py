@@ -342,10 +342,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     sample = distinct_texts(labelled_sample(docs, labels, label, per_class))
     rest = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0
     model = learn_lexicon(sample.where(~rest))
-    # Words that clean texts of the lexicon's part use are no misspellings; the sample bounds them.
-    near = sample.where(~rest & (F.col("y") == 0)).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model)), "y int, x array<double>, near array<string>")
-    model.clean = frozenset(r["w"] for r in near.select(F.explode("near").alias("w")).distinct().collect())
-    rows = sample.where(rest).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model), more=True), "y int, x array<double>, near array<string>").select("y", "x").toPandas()
+    described = "y int, x array<double>, near array<string>"
+
+    def clean_words(rows: DataFrame) -> frozenset[str]:
+        """Words of clean texts that lie near a term: they are no misspellings. The sample bounds them."""
+        near = rows.where("y = 0").select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model)), described)
+        return frozenset(r["w"] for r in near.select(F.explode("near").alias("w")).distinct().collect())
+
+    model.clean = clean_words(sample.where(~rest))
+    rows = sample.where(rest).select("text", "y").mapInArrow(_described(spark.sparkContext.broadcast(model), more=True), described).select("y", "x").toPandas()
     if rows["y"].nunique() < 2:
         return model
     x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy(dtype=float)
@@ -354,6 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     w[:6] = np.maximum(w[:6], 0)  # a term, misspelled or not, is never a sign of a clean text,
     w[6] = min(w[6], 0)  # and a quoted one never of a toxic one
     model.center, model.scale, model.weights, model.bias = center.tolist(), scale.tolist(), w.tolist(), b
+    model.clean |= clean_words(sample.where(rest))  # only now, so that the weights were learned with words unseen
     return model
 
 
