@@ -20,12 +20,17 @@ class WordTokenizer:
 
     Both kinds of vocabulary file split a text before a blank that stands between
     two other characters, and treat what lies between two such cuts alone. So the
-    parts are encoded once each and remembered. Texts where a blank touches other
-    white space or an end, and texts with special strings, are encoded whole.
+    parts are encoded once each and remembered: a new word among the YOUNG, which are
+    forgotten when there are too many, and one that comes again for good, as long as
+    there is room. New words are encoded many at a time, with a special token between
+    them. Texts where a blank touches other white space or an end, and texts with
+    special strings, are encoded whole.
     """
 
-    #: Words that are remembered, about 200 bytes each.
-    MOST = 1_800_000
+    #: Words that are remembered for good, and those met once; about 200 bytes each.
+    MOST, YOUNG = 500_000, 300_000
+    #: Words that are encoded as one text.
+    TOGETHER = 256
     #: Marks that are a token run of their own after a letter.
     MARKS = ".,"
 
@@ -34,10 +39,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.between = next(iter(added.items()), None)
         self.lower = "Lowercase" in (repr(self.tokenizer.normalizer) if self.tokenizer.normalizer else "")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
         self.mark = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -49,24 +57,59 @@ class WordTokenizer:
         ends = (4 * np.cumsum(sizes)).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def _words(self, words: list[str], blank: str) -> list[bytes]:
+        """Ids of words that hold no special string."""
+        if self.between is None:
+            return self._encode([blank + w for w in words])
+        number, mark = self.between
+        out: list[bytes] = []
+        for k in range(0, len(words), 16 * self.TOGETHER):
+            some = words[k : k + 16 * self.TOGETHER]
+            texts = [blank + (mark + blank).join(some[j : j + self.TOGETHER]) + mark for j in range(0, len(some), self.TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == number)
+            starts = np.r_[0, ends[:-1] + 1]
+            if len(ends) != len(some):
+                raise ValueError("a special token stands within a word")
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+        return out
+
     def _plain(self, word: str) -> str:
         """A word with the same ids: where the vocabulary lower-cases, ASCII words are looked up in lower case."""
         return word.lower() if self.lower and word.isascii() else word
 
-    def _learn(self, known: dict[str, bytes], words: set[str], blank: str) -> dict[str, bytes]:
-        """What is needed now; known keeps it as far as there is room. A letter word with a mark behind it is that word and the mark."""
-        new = [w for w in words if w not in known]
-        base = {w: self._plain(w[:-1] if w[-1:] in self.mark and w[:-1].isalpha() else w) for w in new}
-        todo = [w for w in set(base.values()) if w not in known]
-        found = dict(zip(todo, self._encode([blank + w for w in todo]), strict=True))
-        for w, stem in base.items():
-            ids = known.get(stem)
-            ids = found[stem] if ids is None else ids
-            found[w] = ids + self.mark[w[-1]] if w[-1:] in self.mark and w[:-1].isalpha() else ids
-        if len(known) + len(found) <= self.MOST:
-            known.update(found)
-            return known
-        return {w: found[w] if w in found else known[w] for w in words}
+    def _learn(self, known: dict[str, bytes], new: set[str], blank: str) -> dict[str, bytes]:
+        """Ids of words that aren't known. A letter word with a mark behind it is that word and the mark."""
+        young = self.young if blank else {}
+        found: dict[str, bytes] = {}
+        stems: dict[str, tuple[str, bytes]] = {}
+        todo: set[str] = set()
+        for w in new:
+            if (ids := young.get(w)) is not None:
+                found[w] = ids
+                if len(known) < self.MOST:
+                    known[w] = young.pop(w)
+                continue
+            end = self.mark.get(w[-1:], b"")
+            if end and not w[:-1].isalpha():
+                end = b""
+            stem = self._plain(w[:-1] if end else w)
+            if (ids := known.get(stem)) is None and (ids := young.get(stem)) is None:
+                todo.add(stem)
+                stems[w] = (stem, end)
+            else:
+                found[w] = ids + end
+        words = list(todo)
+        made = dict(zip(words, self._words(words, blank), strict=True))
+        for w, (stem, end) in stems.items():
+            found[w] = made[stem] + end
+        if len(young) + len(found) > self.YOUNG:
+            young.clear()
+        for w, ids in found.items():
+            if w not in known:
+                young[w] = ids
+        return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes] = [b""] * len(texts)
@@ -76,12 +119,19 @@ class WordTokenizer:
             (whole if loose else cut).append(k)
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        parts = [texts[k].split(" ") for k in cut]
-        first = self._learn(self.first, {p[0] for p in parts}, "")
-        later = self._learn(self.later, set().union(*(p[1:] for p in parts)), " ")
-        get = later.__getitem__
-        for k, p in zip(cut, parts, strict=True):
-            out[k] = first[p[0]] + b"".join(map(get, p[1:]))
+        get, new, rows = self.later.get, set(), []
+        for k in cut:
+            head, *tail = texts[k].split(" ")
+            ids = list(map(get, tail))
+            if None in ids:
+                new.update(w for w, x in zip(tail, ids, strict=True) if x is None)
+                rows.append((k, head, tail, ids))
+            else:
+                rows.append((k, head, None, b"".join(ids)))
+        later = self._learn(self.later, new, " ")
+        first = self._learn(self.first, {head for _, head, _, _ in rows}, "")
+        for k, head, tail, ids in rows:
+            out[k] = first[head] + (ids if tail is None else b"".join([later[w] if x is None else x for w, x in zip(tail, ids, strict=True)]))
         return [np.frombuffer(x, dtype=np.uint32) for x in out]
 
 
