@@ -110,8 +110,14 @@ def _inverse(cov: np.ndarray) -> list[float]:
     return [float(inv[i, j] * (1 if i == j else 2)) for i, j in PAIRS]
 
 
+def _steady(n: float, cov: np.ndarray) -> np.ndarray:
+    """cov with smaller correlations the fewer rows it is from, so that it can be inverted."""
+    w = n / (n + P + 1)
+    return w * cov + (1 - w) * np.diag(np.diag(cov))
+
+
 def _row(grp: str, n: float, mu: np.ndarray, cov: np.ndarray) -> tuple:
-    return grp, float(n), [float(v) for v in mu], [float(cov[i, j]) for i, j in PAIRS], _inverse(cov)
+    return grp, float(n), [float(v) for v in mu], [float(cov[i, j]) for i, j in PAIRS], _inverse(_steady(n, cov))
 
 
 def _matrix(upper: list[float]) -> np.ndarray:

@@ -7,7 +7,7 @@ import pandas as pd
 
 from plexora.llm import toxicity
 from plexora.llm.licenses import TEMPLATES, LicenseScanner, license_scan
-from plexora.llm.quality_rules import BINS, CUTOFF, FEATURES, NEAR, PAIRS, RESCALE, _concentrate, concentrated, quality_rules, statistics
+from plexora.llm.quality_rules import BINS, CUTOFF, FEATURES, NEAR, PAIRS, RESCALE, _concentrate, _steady, concentrated, quality_rules, statistics
 from plexora.llm.token_files import CELLS, LEAST, _pairs_of, expand, re_pair, replaced_pairs
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -129,7 +129,7 @@ def test_quality_verdicts_equal_brute_force(spark):
 
     def estimate(g):
         own = np.array([x[k] for k in groups[g]])
-        near = own[distances(own, np.array(raw[str(g)].mu), matrix(raw[str(g)].cov)) <= NEAR]
+        near = own[distances(own, np.array(raw[str(g)].mu), _steady(raw[str(g)].n, matrix(raw[str(g)].cov))) <= NEAR]
         return len(own), near.mean(0), np.cov(near.T, bias=True) * RESCALE
 
     got = {r.doc_id: r for r in quality_rules(docs).collect()}
@@ -144,6 +144,15 @@ def test_quality_verdicts_equal_brute_force(spark):
     assert all(got[k].kept for k in range(160)) and not got[200].kept and not got[201].kept
 
 
+def test_quality_estimates_of_tiny_groups(spark):
+    """Groups of one to eight rows that differ much have an estimate too."""
+    rng = np.random.default_rng(2)
+    for n in range(1, 9):
+        rows = [("g", *map(int, r)) for r in rng.integers(0, 9000, (n, 6))]
+        bins = pd.DataFrame([(r[0], k, 1, *r[1:], *(r[1 + i] * r[1 + j] for i, j in PAIRS)) for k, r in enumerate(rows)], columns=["grp", "bin", "k", *(f"s_{i}" for i in range(6)), *(f"s_{i}_{j}" for i, j in PAIRS)])
+        assert np.isfinite(_concentrate(bins)["inv"].iloc[0]).all()
+
+
 def test_quality_estimate_stands_still(spark):
     rng = np.random.default_rng(9)
     x = np.rint(1024 * (rng.gamma(1.0, 1.0, (300, 6)) @ (np.eye(6) + 0.4))).astype(int)
