@@ -36,6 +36,8 @@ MAGIC = b"PLXRPAIR"
 SHARD_IDS, PAIRS, LEAST = 2_000_000, 8192, 8
 #: Cells that pairs are counted in.
 CELLS = 1 << 20
+#: What stands for a null document id in a file.
+NO_ID = -(1 << 63)
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
@@ -223,13 +225,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder:
     """Writes the shards into folder (or a new one in the shared folder) and returns their index: name, part, number, n_ids, start.
 
     start is the number of ids in all shards before. Null texts are empty, so they
-    are one id long; rows with a null doc_id are left out, as they have no place in
-    the order; equal ids follow each other; other columns are ignored.
+    are one id long; texts of any length are encoded whole; rows with a null doc_id
+    come first; equal ids follow each other, by a hash of the text and the text, and
+    may lie in several tasks; other columns are ignored.
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
-    rows = doc_text(docs).where("doc_id is not null")
+    rows = doc_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     partitions = partitions or max(1, min(100_000, plan_bytes(rows) // (16 << 20) + 1))
-    rows = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(partitions, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     index = stored(rows.mapInArrow(_write(tokenizer, end_id, folder), "part int, number int, name string, n_ids long"), "shards")
     per = index.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = per.select("part", F.expr("sum(part_ids) over (order by part) - part_ids").alias("before"))  # a row per partition
@@ -245,7 +248,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = memoryview(shard.all().astype("<u4").tobytes())
             starts = shard.starts()
             crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), shard.lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(shard.doc_ids), pa.array(starts), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["name", "doc_id", "own", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(starts), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["name", "doc_id", "own", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(index: DataFrame, folder: str) -> DataFrame:

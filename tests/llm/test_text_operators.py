@@ -19,6 +19,9 @@ from plexora.llm.warc import assemble, read_records, warc_round_trip, write_warc
 SCHEMA = "doc_id long, text string, lang string, source string, score double, n long, words string"
 
 
+SCHEMA_REST = ["text", "lang", "source", "score", "n", "words"]
+
+
 def documents(spark, texts):
     return spark.createDataFrame([(k, t, None if k % 3 else "en", "s" if k % 2 else None, 1.0, 2, "x") for k, t in enumerate(texts)], SCHEMA)
 
@@ -256,14 +259,14 @@ def test_re_pair_round_trip_and_random_access():
 
 
 def test_token_files_equal_their_documents(spark):
-    docs = odd(spark).where("doc_id > 0 or text is null")
-    rows = sorted(map(tuple, token_files(docs, public_path("word_bpe_49k.json")).collect()))
+    docs = odd(spark).union(documents(spark, ["no id", None, "no id"]).selectExpr("cast(null as long) as doc_id", *SCHEMA_REST))
+    rows = sorted(map(tuple, token_files(docs, public_path("word_bpe_49k.json")).collect()), key=lambda r: r[1])
     tokenizer, start, want = WordTokenizer(public_path("word_bpe_49k.json")).tokenizer, 0, []
-    for d in sorted(docs.collect(), key=lambda r: r.doc_id):
-        ids = tokenizer.encode(d.text or "", add_special_tokens=False).ids + [1]
+    for d in docs.selectExpr("doc_id", "coalesce(text, '') as text").selectExpr("*", "xxhash64(text) as h").orderBy("doc_id", "h").collect():
+        ids = tokenizer.encode(d.text, add_special_tokens=False).ids + [1]
         want.append((d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert rows == want
+    assert rows == want and len(rows) == 12
     assert token_files(documents(spark, []), public_path("word_bpe_49k.json")).count() == 0
 
 
