@@ -212,7 +212,7 @@ def concentrated(rows: DataFrame) -> DataFrame:
         new = stored(bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE), "mcd")
         still.append(new.join(seen, ["grp", "mu", "inv"], "left_semi"))
         moving = stored(new.join(seen, ["grp", "mu", "inv"], "left_anti"), "mcd")
-        seen = stored(seen.unionByName(moving), "mcd")
+        seen = seen.unionByName(moving)
     return stored(reduce(DataFrame.unionByName, still, estimate.limit(0)), "mcd")
 
 
