@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import column_of, doc_text, slices, stored, texts_of
+from plexora.llm.common import BROADCAST_BYTES, column_of, doc_text, slices, stored, texts_of
 from plexora.llm.tokens import word_tokenizer
 
 
@@ -173,8 +173,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
 
     tokenizer is the path of a tokenizers file, there on every machine. A document
     is its ids and end_id; null texts are empty and so one id long. Documents longer
-    than the capacity are cut, the first piece takes the rest of the division. Equal
-    rows are documents each; other columns are ignored; an empty table gives no rows.
+    than the capacity are cut, the first piece takes the rest of the division. Texts of
+    any length are encoded whole. Equal rows and rows with a null doc_id are documents each; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = doc_text(docs).mapInArrow(_pieces(tokenizer, end_id, capacity), "part int, doc_id long, piece int, start long, length long, rank long, ids_crc32 long")
@@ -184,6 +184,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
     slots, _ = plan(counts, capacity)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
     before = per.select("length", "part", F.expr("sum(k) over (partition by length order by part) - k").alias("before"))
-    shared = spark.sparkContext.broadcast(slots)  # a few per length, whatever the number of documents
+    if slots.nbytes > BROADCAST_BYTES:  # a few per length, whatever the number of documents
+        raise ValueError(f"the plan of {len(slots)} slots is above the broadcast bound; take a smaller capacity")
+    shared = spark.sparkContext.broadcast(slots)
     placed = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "rank", "before", "ids_crc32")
     return placed.mapInArrow(_placed(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -361,6 +361,24 @@ def test_pairwise_quality_separates(spark):
     assert pairwise_quality.fit(docs, labels.limit(0), "y").weights[0] == 0
 
 
+def test_bradley_terry_minimises_the_loss_of_its_pairs(spark):
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(0.7, 1, (40, 3)), rng.normal(0, 1, (30, 3))
+    w = pairwise_quality.bradley_terry(good, bad, ridge=1.0, each=4)
+    bads = np.repeat(np.arange(30), 4)
+    d = good[np.random.default_rng(7).integers(0, 40, 120)] - bad[bads]
+
+    def loss(v):
+        return np.log1p(np.exp(-d @ v)).sum() + v @ v / 2
+
+    for _ in range(200):
+        assert loss(w) <= loss(w + rng.normal(0, 0.05, 3)) + 1e-9
+    model = pairwise_quality.PairwiseModel([0.0] * 16, [1.0] * 16, [0.0] * 16)
+    assert pairwise_quality.quality(documents(spark, []), model).count() == 0
+    nobody = documents(spark, ["a text"]).selectExpr("cast(null as long) as doc_id", *SCHEMA_REST)
+    assert pairwise_quality.quality(nobody, model).first().score == 0.5 and len(pack(nobody, public_path("byte_bpe_50k.json")).collect()) == 1
+
+
 def test_url_filter_rules_and_terms(spark):
     policy = url_filter.UrlPolicy((url_filter.Rule("allow", "org/"), url_filter.Rule("block", "example.org/es/")))
     urls = [None, "", "no scheme/porn", "http://A.Example.ORG/es/x?q", "http://a.org/porn", "https://x.com/best-porn", "https://x.com/sportporn", "https://x.com/free/poker", "https://x.com/free/free", "http://x.org", "http://evilorg/", "https://x.de/billig/kredit", "https://x.de/Erotik-billig", "https://x.de/Erotik-billig"]
