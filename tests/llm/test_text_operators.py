@@ -81,8 +81,10 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, width, percent, limit
 
 
 def test_ngram_join_odd_inputs(spark):
-    found = sorted(map(tuple, ngram_jaccard(odd(spark), 4, 85).collect()))
-    assert len(found) == 9
+    nobody = documents(spark, ["a b", "alone here"]).selectExpr("cast(null as long) as doc_id", *SCHEMA_REST)
+    found = list(map(tuple, ngram_jaccard(odd(spark).union(nobody), 4, 85).collect()))
+    assert len(found) == 11
+    assert (None, 1, 3, 3) in found and (None, 1, None, None) in found
     assert (0, 0, 0, 0) in found and (3, 1, 3, 3) in found and (4, 1, 3, 3) in found
     assert ngram_jaccard(documents(spark, []), 4, 85).collect() == []
 
