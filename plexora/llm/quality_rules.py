@@ -38,6 +38,10 @@ FEATURES = {"x_length": 0.08, "x_symbols": 0.08, "x_lines": 0.20, "x_repeats": 0
 P = len(FEATURES)
 #: Share of rows that the estimate is made of; bins per doubling of the distance.
 KEPT, BINS = 0.75, 16
+#: Estimates that a new one is compared with, and the steps after which a group's last estimate is taken.
+CIRCLE, MOST_STEPS = 6, 60
+#: Tasks that put the small tables of estimates together.
+FEW_TASKS = 8
 #: Rows that the estimate above a group counts as, ten a statistic; least deviations that the prior of all rows has as its own.
 PRIOR, WIDE = 10 * P, 4
 
@@ -201,26 +205,33 @@ def concentrated(rows: DataFrame) -> DataFrame:
     """(grp, n, mu, cov, inv) per group of rows(grp, *FEATURES), from the n rows of its last step.
 
     A group's steps end when an estimate comes again: it stands still, or, as bins
-    are kept whole, it is the first of a circle. Sums are exact, so this is exact too.
+    are kept whole, it is one of a circle of at most CIRCLE. Sums are exact, so this is
+    exact too. After MOST_STEPS steps a group that goes in a longer circle keeps its last.
     """
     quartiles = [F.expr(f"percentile({x}, array(0.25, 0.5, 0.75))").alias(f"q_{x}") for x in NAMES]  # of at most some thousand values
-    estimate = stored(rows.groupBy("grp").agg(F.count("*").cast("double").alias("n"), *quartiles).mapInPandas(lambda it: map(_start, it), ESTIMATE), "mcd")
+    estimate = stored(rows.groupBy("grp").agg(F.count("*").cast("double").alias("n"), *quartiles).mapInPandas(lambda it: map(_start, it), ESTIMATE).coalesce(FEW_TASKS), "mcd")
     bin_of = F.floor(BINS * F.log2(_distance() + 2.0**-12)).cast("int")
-    seen, moving, still = estimate, estimate, []
+    moving, still = estimate, []
+    before = [estimate]
     while not moving.isEmpty():
-        bins = rows.join(moving, "grp").groupBy("grp", bin_of.alias("bin")).agg(*_sums())
-        new = stored(bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE), "mcd")
-        still.append(new.join(seen, ["grp", "mu", "inv"], "left_semi"))
-        moving = stored(new.join(seen, ["grp", "mu", "inv"], "left_anti"), "mcd")
-        seen = seen.unionByName(moving)
-    return stored(reduce(DataFrame.unionByName, still, estimate.limit(0)), "mcd")
+        bins = rows.join(moving.drop("again"), "grp").groupBy("grp", bin_of.alias("bin")).agg(*_sums())
+        known = reduce(DataFrame.unionByName, [e.select("grp", "mu", "inv") for e in before]).distinct().withColumn("again", F.lit(True))
+        new = bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE).join(known, ["grp", "mu", "inv"], "left")
+        new = stored(new.select(*COLUMNS, F.col("again").isNotNull().alias("again")).coalesce(FEW_TASKS), "mcd")  # a row per group
+        still.append(new.where("again").drop("again"))
+        moving = new.where("not again")
+        before = [*before, new][-CIRCLE:]
+        if len(still) == MOST_STEPS:  # a longer circle than is looked for: its last estimate is as good as any of it
+            still.append(moving.drop("again"))
+            break
+    return stored(reduce(DataFrame.unionByName, still, estimate.limit(0)).coalesce(FEW_TASKS), "mcd")
 
 
 def mcd(rows: DataFrame) -> DataFrame:
     """The same from all rows near the concentrated estimate, n the group's size."""
     raw = concentrated(rows)
     near = rows.join(raw, "grp").where(_distance() <= NEAR).groupBy("grp").agg(*_sums())
-    last = stored(near.groupBy("grp").applyInPandas(_reweighted, ESTIMATE).drop("n"), "mcd")
+    last = stored(near.groupBy("grp").applyInPandas(_reweighted, ESTIMATE).drop("n").coalesce(FEW_TASKS), "mcd")
     return last.join(rows.groupBy("grp").agg(F.count("*").cast("double").alias("n")), "grp").select(*COLUMNS)
 
 
@@ -241,7 +252,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     for name, grp in by.items():
         own = found.select(F.col("grp").alias("_grp"), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "mu", "cov")])
         groups = groups.join(own, grp == F.col("_grp")).drop("_grp")
-    estimate = stored(groups.mapInPandas(_combined, "lang string, source string, mu array<double>, inv array<double>"), "estimates")
+    estimate = stored(groups.mapInPandas(_combined, "lang string, source string, mu array<double>, inv array<double>").coalesce(FEW_TASKS), "estimates")
     scored = rows.join(estimate, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"))
