@@ -209,20 +209,20 @@ def concentrated(rows: DataFrame) -> DataFrame:
     exact too. After MOST_STEPS steps a group that goes in a longer circle keeps its last.
     """
     quartiles = [F.expr(f"percentile({x}, array(0.25, 0.5, 0.75))").alias(f"q_{x}") for x in NAMES]  # of at most some thousand values
-    estimate = stored(rows.groupBy("grp").agg(F.count("*").cast("double").alias("n"), *quartiles).mapInPandas(lambda it: map(_start, it), ESTIMATE).coalesce(FEW_TASKS), "mcd")
+    estimate = stored(rows.groupBy("grp").agg(F.count("*").cast("double").alias("n"), *quartiles).coalesce(FEW_TASKS).mapInPandas(lambda it: map(_start, it), ESTIMATE), "mcd")
     bin_of = F.floor(BINS * F.log2(_distance() + 2.0**-12)).cast("int")
-    moving, still = estimate, []
-    before = [estimate]
+    # past: a group's last estimates, in its own row, so that no table but the one before is read.
+    moving, still = estimate.withColumn("past", F.array(F.struct("mu", "inv"))), []
     while not moving.isEmpty():
-        bins = rows.join(moving.drop("again"), "grp").groupBy("grp", bin_of.alias("bin")).agg(*_sums())
-        known = reduce(DataFrame.unionByName, [e.select("grp", "mu", "inv") for e in before]).distinct().withColumn("again", F.lit(True))
-        new = bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE).join(known, ["grp", "mu", "inv"], "left")
-        new = stored(new.select(*COLUMNS, F.col("again").isNotNull().alias("again")).coalesce(FEW_TASKS), "mcd")  # a row per group
-        still.append(new.where("again").drop("again"))
+        # A row per group and bin, in few tasks, as each task of a shuffle leaves files for every step.
+        bins = rows.join(moving.select("grp", "mu", "inv"), "grp").groupBy("grp", bin_of.alias("bin")).agg(*_sums()).coalesce(FEW_TASKS)
+        new = bins.groupBy("grp").applyInPandas(_concentrate, ESTIMATE).join(moving.select("grp", "past"), "grp")
+        past = F.slice(F.concat(F.array(F.struct("mu", "inv")), "past"), 1, CIRCLE)
+        new = stored(new.select(*COLUMNS, F.array_contains("past", F.struct("mu", "inv")).alias("again"), past.alias("past")).coalesce(FEW_TASKS), "mcd")  # a row per group
+        still.append(new.where("again").select(*COLUMNS))
         moving = new.where("not again")
-        before = [*before, new][-CIRCLE:]
         if len(still) == MOST_STEPS:  # a longer circle than is looked for: its last estimate is as good as any of it
-            still.append(moving.drop("again"))
+            still.append(moving.select(*COLUMNS))
             break
     return stored(reduce(DataFrame.unionByName, still, estimate.limit(0)).coalesce(FEW_TASKS), "mcd")
 
@@ -247,11 +247,11 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = stored(statistics(docs).withColumn("base_failed", base_failed()), "statistics")
     by = {"all": F.lit("all"), "lang": F.concat(F.lit("lang "), "lang"), "own": F.concat(F.lit("source "), F.to_json(F.array("lang", "source")))}
     good = rows.where("not base_failed")
-    found = mcd(good.select(F.explode(F.array(*by.values())).alias("grp"), *NAMES))
-    groups = good.select("lang", "source").distinct()
-    for name, grp in by.items():
-        own = found.select(F.col("grp").alias("_grp"), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "mu", "cov")])
-        groups = groups.join(own, grp == F.col("_grp")).drop("_grp")
+    found = stored(mcd(good.select(F.explode(F.array(*by.values())).alias("grp"), *NAMES)).coalesce(FEW_TASKS), "mcd")
+    # The names of the groups are stored too: as literals they would make the join with all rows' estimate one of every task with every task.
+    groups = stored(good.select("lang", "source").distinct().select("lang", "source", *[grp.alias(f"{name}_grp") for name, grp in by.items()]).coalesce(FEW_TASKS), "groups")
+    for name in by:
+        groups = groups.join(found.select(F.col("grp").alias(f"{name}_grp"), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "mu", "cov")]), f"{name}_grp")
     estimate = stored(groups.mapInPandas(_combined, "lang string, source string, mu array<double>, inv array<double>").coalesce(FEW_TASKS), "estimates")
     scored = rows.join(estimate, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
