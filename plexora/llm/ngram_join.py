@@ -26,11 +26,12 @@ classes that share a signature is settled from its centre, its most connected cl
 every other class is compared with the centre, which joins most groups of near copies
 at once. Of what is still apart, short lists give their pairs. In long ones each class
 is described anew by what it has more or less than the centre (its difference), and
-the prefixes of these differences are signatures of a second index, with filters by the
-differences' sizes and by the places in the prefixes. Two similar classes of which one
-isn't similar to the centre have more than half of the smaller difference in common,
-so what the group shares is no signature any more. On a group of 2,600 near copies 2,601
-of 3.4 million pairs are left to verify, from 32,553 that meet in a list.
+the prefixes of these differences are signatures of a second index. Two similar classes
+of which one isn't similar to the centre have more than half of the smaller difference
+in common, so what the group shares is no signature any more. A list of the second index
+is settled in one task, where the differences decide exactly, after filters by their
+sizes and by the places in the prefixes: it gives a link for each two components that it
+joins, less than one per class, however many pairs are similar.
 
 Candidate pairs are sifted by histograms of their n-grams, which bound the overlap
 from above, and those left are verified on whole n-gram sets of 64-bit hashes.
@@ -364,9 +365,9 @@ def _verify(percent: int, shared=None):
 
     With shared n-grams and where long, also the size d of a's difference to b and its
     signatures: of a class that isn't similar to b, half of them for partners of its own
-    kind, the others for similar ones.
+    kind, the others for similar ones; and the difference itself, sorted.
     """
-    names = ["a", "b", "common", "similar"] + ["d", "half", "sigs"] * (shared is not None)
+    names = ["a", "b", "common", "similar"] + ["d", "half", "sigs", "own"] * (shared is not None)
     salts = mix64(np.array([11, 12], dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,20 +383,82 @@ def _verify(percent: int, shared=None):
                 if shared is None:
                     continue
                 if not long[k]:
-                    rows.append((None, None, None))
+                    rows.append((None, None, None, None))
                     continue
                 own, half, most = difference(x, y, percent, shared.value)
                 keyed = own ^ mix64(np.array([bs[k].as_py()]).view(np.uint64))
                 first, second = (keyed[:0], keyed[:half]) if ok[-1] else (keyed[:half], keyed[:most])
-                rows.append((len(own), len(first), mix64(np.concatenate([first ^ salts[0], second ^ salts[1]])).view(np.int64)))
+                rows.append((len(own), len(first), mix64(np.concatenate([first ^ salts[0], second ^ salts[1]])).view(np.int64), np.sort(own).tobytes()))
             out = [column_of(batch, "a"), bs, pa.array(common, pa.int64()), pa.array(ok, pa.bool_())]
             if shared is not None:
-                out += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64())))]
+                out += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
+class DifferenceList:
+    """The classes of one list (nid, c, n, d, at, side, comp) of differences, and which of them sizes and places allow to be similar."""
+
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        self.nid, self.c, self.n, self.d, self.at, self.side = (table.column(k).to_numpy().astype(np.int64) for k in ("nid", "c", "n", "d", "at", "side"))
+        self.comp, self.percent = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1], percent
+
+    def after(self, i: int) -> np.ndarray:
+        """The classes after i, from other components, that can be similar to it."""
+        n, d, at, share = self.n[i + 1 :], self.d[i + 1 :], self.at[i + 1 :], 100 + self.percent
+        most = (100 - self.percent) * (self.n[i] + n)
+        fits = (self.comp[i + 1 :] != self.comp[i]) & (self.c[i + 1 :] == self.c[i]) & np.isin(self.side[i] + self.side[i + 1 :], (0, 3)) & (100 * np.minimum(self.n[i], n) >= self.percent * np.maximum(self.n[i], n))
+        fits &= (share * np.abs(self.d[i] - d) <= most) & (2 * share * np.minimum(self.d[i] - self.at[i], d - at) >= share * (self.d[i] + d) - most)
+        return i + 1 + np.flatnonzero(fits)
+
+
+def _partnered(percent: int):
+    """The rows of one list that have any partner in it, so that only their differences need be moved."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, some = DifferenceList(table, percent), np.zeros(table.num_rows, dtype=bool)
+        for i in range(table.num_rows - 1):
+            if len(js := found.after(i)):
+                some[i] = some[js] = True
+        return table.filter(pa.array(some))
+
+    return run
+
+
+def _joined(percent: int):
+    """Links of similar classes of one list with own, the differences: a spanning tree of each component of them.
+
+    Sets x and y with differences X and Y to the same centre differ in just the n-grams
+    in which X and Y do, so that the differences decide exactly. A class is compared with
+    those that are neither in its component by then nor left out by size or place.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        found = DifferenceList(table, percent)
+        own = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table.column("own")]
+        n, d, comp, a, b = found.n, found.d, found.comp, [], []
+        for i in range(table.num_rows - 1):
+            js = found.after(i)
+            if not len(js):
+                continue
+            flat = np.concatenate([own[k] for k in js])
+            place = np.searchsorted(own[i], flat)
+            place[place == len(own[i])] = 0  # own[i] isn't empty: it has the list's n-gram
+            hits = np.r_[0, np.cumsum(own[i][place] == flat)]
+            ends = np.cumsum(d[js])
+            both, differ = n[i] + n[js], d[i] + d[js] - 2 * (hits[ends] - hits[ends - d[js]])
+            similar = js[100 * (both - differ) >= percent * (both + differ)]
+            if len(similar):
+                comps, first = np.unique(comp[similar], return_index=True)
+                a += [found.nid[i]] * len(first)
+                b += found.nid[similar[first]].tolist()
+                comp[np.isin(comp, comps)] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 class NgramJaccard:
     """The join over one table of documents; its steps are stored as they are made, and deleted when they are done with.
 
@@ -494,9 +557,9 @@ class NgramJaccard:
         return stored(star.groupBy(F.col("nid").alias("a"), F.col("c").alias("b")).agg(F.max(F.col("k") > SHORT).alias("long")), "stars")
 
     def _compared(self, star: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, common, similar, d, half, sigs) of pairs with a centre."""
+        """(a, b, common, similar, d, half, sigs, own) of pairs with a centre."""
         rows = self._with(star, sets, "grams").select("a", "b", "long", "x", "y")
-        return stored(rows.mapInArrow(_verify(self.percent, self.frequent), "a long, b long, common long, similar boolean, d int, half int, sigs array<long>"), "compared")
+        return stored(rows.mapInArrow(_verify(self.percent, self.frequent), "a long, b long, common long, similar boolean, d int, half int, sigs array<long>, own binary"), "compared")
 
     def _open(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
         """lists with comp, without those whose classes are of one component."""
@@ -507,15 +570,23 @@ class NgramJaccard:
         return out
 
     def _pairs(self, q: DataFrame) -> DataFrame:
-        """Pairs (a, b), a > b, from different components, that sizes, differences and places in the prefixes allow."""
-        q = q.select("sig", "nid", "n", "d", "at", "side", "comp")
-        other = q.toDF("sig", "v", "m", "e", "to", "other", "cv")
-        most, p = (100 - self.percent) * (F.col("n") + F.col("m")), 100 + self.percent
-        differ = (F.col("d") == 0) & (F.col("e") == 0) | (p * F.abs(F.col("d") - F.col("e")) <= most) & (2 * p * F.least(F.col("d") - F.col("at"), F.col("e") - F.col("to")) >= p * (F.col("d") + F.col("e")) - most)
-        apart = (F.col("nid") > F.col("v")) & (F.col("comp") != F.col("cv")) & (F.col("side") + F.col("other")).isin(0, 3)
-        pairs = q.join(other, "sig").where(apart & self._fits("n", "m") & differ)
+        """Pairs (a, b), a > b, of classes of short lists from different components that sizes allow."""
+        q = q.select("sig", "nid", "n", "comp")
+        apart = (F.col("nid") > F.col("v")) & (F.col("comp") != F.col("cv"))
+        pairs = q.join(q.toDF("sig", "v", "m", "cv"), "sig").where(apart & self._fits("n", "m"))
         return stored(pairs.select(F.col("nid").alias("a"), F.col("v").alias("b")).distinct(), "pairs")
 
+    def _linked(self, q: DataFrame, compared: DataFrame) -> DataFrame:
+        """(a, b) of similar classes of lists of differences, enough of them to join each list's components.
+
+        A list is one task, which holds its differences; it has at most a link per class.
+        """
+        q = q.select("sig", "nid", "c", "n", "d", "at", "side", "comp")
+        q = stored(q.groupBy("sig").applyInArrow(_partnered(self.percent), q.schema), "partnered")
+        own = compared.where("own is not null").select(F.col("a").alias("nid"), F.col("b").alias("c"), "own")
+        lists = q.join(own, ["nid", "c"])
+        return stored(lists.groupBy("sig").applyInArrow(_joined(self.percent), "a long, b long"), "linked")
+
     def class_links(self) -> DataFrame:
         """(a, b) of similar classes, enough of them to join every component."""
         none = F.lit(0)
@@ -530,14 +601,14 @@ class NgramJaccard:
         pairs = self._pairs(q.where(F.col("k") <= SHORT)).join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         # The long lists, by their centres: described anew where a centre's classes are still apart.
         long = q.where(F.col("k") > SHORT).select(F.col("nid").alias("a"), F.col("c").alias("b"), "n").distinct()
-        again = long.join(compared.where("d is not null").drop("common"), ["a", "b"]).select("a", "n", "d", "half", "similar", F.posexplode("sigs").alias("at", "sig"))
+        again = long.join(compared.where("d is not null").drop("common", "own"), ["a", "b"]).select("a", "b", "n", "d", "half", "similar", F.posexplode("sigs").alias("at", "sig"))
         side = F.when(F.col("similar"), 2).when(F.col("at") < F.col("half"), 0).otherwise(1)
         at = F.when(side == 1, F.col("at") - F.col("half")).otherwise(F.col("at"))
-        anew = self._sized(again.select("sig", F.col("a").alias("nid"), "n", "d", at.alias("at"), side.alias("side")))
-        pairs = pairs.union(self._pairs(self._open(anew, comps)))
+        anew = self._sized(again.select("sig", F.col("a").alias("nid"), F.col("b").alias("c"), "n", "d", at.alias("at"), side.alias("side")))
+        linked = self._linked(self._open(anew, comps), compared)
         discard(lists, q, anew, sets)
         apart = pairs.distinct().join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        return links.union(self.verified(stored(apart.select("a", "b"), "rest")).where("similar").select("a", "b"))
+        return links.union(linked).union(self.verified(stored(apart.select("a", "b"), "rest")).where("similar").select("a", "b"))
 
     def class_components(self) -> DataFrame:
         """(node, comp) of the classes that have links."""
