@@ -49,7 +49,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = pairwise_quality.quality(docs, pairwise_quality.fit(docs, table(spark, sf_dir, "labels")))
+    scored = pairwise_quality.pairwise_quality(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
