@@ -54,8 +54,8 @@ COUNTED = 0.30
 LIMIT = np.uint64(int(COUNTED * 2**64))
 #: n-grams in at least this many documents are frequent.
 FREQUENT = 24
-#: Cells of the histograms by which pairs are sifted before their sets are compared.
-CELLS, COARSE = 512, 64
+#: Cells of the histograms by which pairs are sifted before their sets are compared, and of those of differences.
+CELLS, COARSE, DIFFERENCE_CELLS = 512, 64, 1024
 #: Lists of up to SHORT classes are paired as they are, longer ones by differences. Rows of one key of a join with large values are dealt out in shares of about SHARE.
 SHORT, SHARE = 12, 1000
 #: n-grams of a size level per bucket of the frequent class.
@@ -247,9 +247,9 @@ def frequent_grams(parts: DataFrame, most: int = BROADCAST_BYTES // 8) -> np.nda
     return np.sort(rows.column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def histogram(grams: np.ndarray) -> bytes:
+def histogram(grams: np.ndarray, cells: int = CELLS) -> bytes:
     """How many n-grams of a set fall into each cell of their low bits, 255 standing for that and more."""
-    counts = np.bincount((grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    counts = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -347,6 +347,16 @@ def _can_be_similar(percent: int):
     return run
 
 
+def _known(shared, name: str):
+    """The rows whose column of this name the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value(column_of(batch, name).to_numpy().astype(np.int64))))
+
+    return run
+
+
 def _sets(width: int, shared):
     """(nid, grams) of the texts whose key the filter lets pass."""
 
@@ -365,9 +375,9 @@ def _verify(percent: int, shared=None):
 
     With shared n-grams and where long, also the size d of a's difference to b and its
     signatures: of a class that isn't similar to b, half of them for partners of its own
-    kind, the others for similar ones; and the difference itself, sorted.
+    kind, the others for similar ones; the difference itself, sorted, and its histogram.
     """
-    names = ["a", "b", "common", "similar"] + ["d", "half", "sigs", "own"] * (shared is not None)
+    names = ["a", "b", "common", "similar"] + ["d", "half", "sigs", "own", "spread"] * (shared is not None)
     salts = mix64(np.array([11, 12], dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,24 +393,28 @@ def _verify(percent: int, shared=None):
                 if shared is None:
                     continue
                 if not long[k]:
-                    rows.append((None, None, None, None))
+                    rows.append((None,) * 5)
                     continue
                 own, half, most = difference(x, y, percent, shared.value)
                 keyed = own ^ mix64(np.array([bs[k].as_py()]).view(np.uint64))
                 first, second = (keyed[:0], keyed[:half]) if ok[-1] else (keyed[:half], keyed[:most])
-                rows.append((len(own), len(first), mix64(np.concatenate([first ^ salts[0], second ^ salts[1]])).view(np.int64), np.sort(own).tobytes()))
+                rows.append((len(own), len(first), mix64(np.concatenate([first ^ salts[0], second ^ salts[1]])).view(np.int64), np.sort(own).tobytes(), histogram(own, DIFFERENCE_CELLS)))
             out = [column_of(batch, "a"), bs, pa.array(common, pa.int64()), pa.array(ok, pa.bool_())]
             if shared is not None:
-                out += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
+                out += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
 class DifferenceList:
-    """The classes of one list (nid, c, n, d, at, side, comp) of differences, and which of them sizes and places allow to be similar."""
+    """The classes of one list (nid, c, n, d, at, side, comp) of differences, and which of them sizes and places allow to be similar.
+
+    With spread, the differences' histograms, these have to allow it too.
+    """
 
     def __init__(self, table: pa.Table, percent: int) -> None:
+        self.spread = np.stack([np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in table.column("spread")]) if "spread" in table.column_names else None
         self.nid, self.c, self.n, self.d, self.at, self.side = (table.column(k).to_numpy().astype(np.int64) for k in ("nid", "c", "n", "d", "at", "side"))
         self.comp, self.percent = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1], percent
 
@@ -410,11 +424,17 @@ class DifferenceList:
         most = (100 - self.percent) * (self.n[i] + n)
         fits = (self.comp[i + 1 :] != self.comp[i]) & (self.c[i + 1 :] == self.c[i]) & np.isin(self.side[i] + self.side[i + 1 :], (0, 3)) & (100 * np.minimum(self.n[i], n) >= self.percent * np.maximum(self.n[i], n))
         fits &= (share * np.abs(self.d[i] - d) <= most) & (2 * share * np.minimum(self.d[i] - self.at[i], d - at) >= share * (self.d[i] + d) - most)
-        return i + 1 + np.flatnonzero(fits)
+        js = i + 1 + np.flatnonzero(fits)
+        if self.spread is None or not len(js):
+            return js
+        x, y, d = self.spread[i], self.spread[js], self.d[js]
+        shared = np.minimum(x, y).sum(1, dtype=np.int64)  # a common n-gram lies in the same cell of both
+        fits = 2 * share * shared >= share * (self.d[i] + d) - (100 - self.percent) * (self.n[i] + self.n[js])
+        return js[fits | (x == 255).any() | (y == 255).any(1)]  # a full cell says nothing
 
 
 def _partnered(percent: int):
-    """The rows of one list that have any partner in it, so that only their differences need be moved."""
+    """The rows of one list that have any partner in it, so that only their histograms, then their differences, need be moved."""
 
     def run(table: pa.Table) -> pa.Table:
         found, some = DifferenceList(table, percent), np.zeros(table.num_rows, dtype=bool)
@@ -504,29 +524,39 @@ class NgramJaccard:
         discard(nids)
         return out
 
-    def _with(self, pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        """pairs(a, b, ...) with x and y, the values of table(nid, value) for a and b.
+    def _only(self, table: DataFrame, keys: DataFrame, most: int, name: str = "nid") -> DataFrame:
+        """The rows of table that a filter of the column keys of at most so many values lets pass by their column name, stored: a join moves few others."""
+        shared = self.spark.sparkContext.broadcast(bloom(keys, most))
+        return stored(table.mapInArrow(_known(shared, name), table.schema), "only")
+
+    def _with(self, pairs: DataFrame, table: DataFrame, value: str, run, kinds: str, name: str) -> DataFrame:
+        """run over pairs(a, b, ...) with x and y, the values of table(nid, value) for a and b, stored.
 
         A class can be b of very many pairs: these are dealt out in shares, with a copy of the value for each.
         """
+        most = pairs.count()
+        own, other = (self._only(table.select("nid", value), pairs.select(c), most) for c in ("a", "b"))
         per = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
         several = per.where("shares > 1")  # at most a row per SHARE pairs
-        y = table.select(F.col("nid").alias("b"), F.col(value).alias("y")).join(several, "b", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-        out = pairs.join(several, "b", "left").withColumn("share", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
-        return out.join(table.select(F.col("nid").alias("a"), F.col(value).alias("x")), "a").join(y, ["b", "share"])
+        y = other.select(F.col("nid").alias("b"), F.col(value).alias("y")).join(several, "b", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+        rows = pairs.join(several, "b", "left").withColumn("share", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+        rows = rows.join(own.select(F.col("nid").alias("a"), F.col(value).alias("x")), "a").join(y, ["b", "share"])
+        out = stored(rows.select(*pairs.columns, "x", "y").mapInArrow(run, kinds), name)
+        discard(own, other)
+        return out
 
     def _sifted(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) that coarse cells, then the fine ones, allow."""
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
         for value in ("coarse", "cells"):
-            pairs = stored(self._with(pairs, self.cells, value).select(*pairs.columns, "x", "y").mapInArrow(_can_be_similar(self.percent), kinds), "sifted")
+            pairs = self._with(pairs, self.cells, value, _can_be_similar(self.percent), kinds, "sifted")
         return pairs
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, common, similar) of candidate pairs of classes: sifted twice, then compared on whole sets."""
         pairs = self._sifted(pairs.select("a", "b"))
         sets = self.sets(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")))
-        out = stored(self._with(pairs, sets, "grams").select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long, common long, similar boolean"), "verified")
+        out = self._with(pairs, sets, "grams", _verify(self.percent), "a long, b long, common long, similar boolean", "verified")
         discard(sets, pairs)
         return out
 
@@ -534,13 +564,20 @@ class NgramJaccard:
         """Sizes that can be similar."""
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
-    def _sized(self, p: DataFrame) -> DataFrame:
+    def _sized(self, p: DataFrame, few: bool = False) -> DataFrame:
         """p(sig, nid, n, d, at, side) of lists that can have pairs, with k, the list's length.
 
         side is 0 where all classes of a list are partners, else 1 and 2 are partners of each other.
+        few: most lists can't, so that a filter leaves out most rows before they are moved.
         """
-        size = p.groupBy("sig").agg(F.count("*").alias("k"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("k > 1 and (lo < hi or hi = 0)")
-        return stored(p.join(size.select("sig", "k"), "sig"), "sized")
+        size = p.groupBy("sig").agg(F.count("*").alias("k"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("k > 1 and (lo < hi or hi = 0)").select("sig", "k")
+        if not few:
+            return stored(p.join(size, "sig"), "sized")
+        size = stored(size, "sizes")
+        some = self._only(p, size.select("sig"), size.count(), "sig")
+        out = stored(some.join(size, "sig"), "sized")
+        discard(size, some)
+        return out
 
     def _lists(self, p: DataFrame) -> DataFrame:
         """_sized lists with c, m, the centre and the centre's size."""
@@ -557,9 +594,8 @@ class NgramJaccard:
         return stored(star.groupBy(F.col("nid").alias("a"), F.col("c").alias("b")).agg(F.max(F.col("k") > SHORT).alias("long")), "stars")
 
     def _compared(self, star: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, common, similar, d, half, sigs, own) of pairs with a centre."""
-        rows = self._with(star, sets, "grams").select("a", "b", "long", "x", "y")
-        return stored(rows.mapInArrow(_verify(self.percent, self.frequent), "a long, b long, common long, similar boolean, d int, half int, sigs array<long>, own binary"), "compared")
+        """(a, b, common, similar, d, half, sigs, own, spread) of pairs with a centre."""
+        return self._with(star, sets, "grams", _verify(self.percent, self.frequent), "a long, b long, common long, similar boolean, d int, half int, sigs array<long>, own binary, spread binary", "compared")
 
     def _open(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
         """lists with comp, without those whose classes are of one component."""
@@ -583,9 +619,20 @@ class NgramJaccard:
         """
         q = q.select("sig", "nid", "c", "n", "d", "at", "side", "comp")
         q = stored(q.groupBy("sig").applyInArrow(_partnered(self.percent), q.schema), "partnered")
-        own = compared.where("own is not null").select(F.col("a").alias("nid"), F.col("b").alias("c"), "own")
-        lists = q.join(own, ["nid", "c"])
-        return stored(lists.groupBy("sig").applyInArrow(_joined(self.percent), "a long, b long"), "linked")
+        differences = compared.where("own is not null").withColumnRenamed("a", "nid").withColumnRenamed("b", "c")
+
+        def having(value: str) -> tuple[DataFrame, DataFrame]:
+            some = self._only(differences.select("nid", "c", value), q.select("nid"), q.count())
+            return some, q.join(some, ["nid", "c"])
+
+        some, lists = having("spread")
+        fewer = stored(lists.groupBy("sig").applyInArrow(_partnered(self.percent), lists.schema).drop("spread"), "partnered")
+        discard(q, some)
+        q = fewer
+        some, lists = having("own")
+        out = stored(lists.groupBy("sig").applyInArrow(_joined(self.percent), "a long, b long"), "linked")
+        discard(q, some)
+        return out
 
     def class_links(self) -> DataFrame:
         """(a, b) of similar classes, enough of them to join every component."""
@@ -601,10 +648,10 @@ class NgramJaccard:
         pairs = self._pairs(q.where(F.col("k") <= SHORT)).join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         # The long lists, by their centres: described anew where a centre's classes are still apart.
         long = q.where(F.col("k") > SHORT).select(F.col("nid").alias("a"), F.col("c").alias("b"), "n").distinct()
-        again = long.join(compared.where("d is not null").drop("common", "own"), ["a", "b"]).select("a", "b", "n", "d", "half", "similar", F.posexplode("sigs").alias("at", "sig"))
+        again = long.join(compared.where("d is not null").drop("common", "own", "spread"), ["a", "b"]).select("a", "b", "n", "d", "half", "similar", F.posexplode("sigs").alias("at", "sig"))
         side = F.when(F.col("similar"), 2).when(F.col("at") < F.col("half"), 0).otherwise(1)
         at = F.when(side == 1, F.col("at") - F.col("half")).otherwise(F.col("at"))
-        anew = self._sized(again.select("sig", F.col("a").alias("nid"), F.col("b").alias("c"), "n", "d", at.alias("at"), side.alias("side")))
+        anew = self._sized(again.select("sig", F.col("a").alias("nid"), F.col("b").alias("c"), "n", "d", at.alias("at"), side.alias("side")), few=True)
         linked = self._linked(self._open(anew, comps), compared)
         discard(lists, q, anew, sets)
         apart = pairs.distinct().join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
