@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import BROADCAST_BYTES, Bloom, HashCache, bloom, column_of, discard, doc_text, mix64, plan_bytes, power_of_two, slices, stored, texts_of
+from plexora.llm.common import BROADCAST_BYTES, Bloom, HashCache, bloom, collect_garbage, column_of, discard, doc_text, mix64, plan_bytes, power_of_two, slices, stored, texts_of, unburden
 from plexora.llm.graphs import components
 
 #: n-grams whose hash lies in this share of the hash range are counted; a prefix lies there unless over half of a document is frequent.
@@ -198,6 +198,7 @@ def _measure(width: int, buckets: int):
         return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int32()), pa.array(grams, pa.binary()), pa.array(counts, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         shingler, kept, size = Shingler(width), [], 0
         for whole in batches:
             for batch in slices(whole):
@@ -262,6 +263,7 @@ def coarse(cells: bytes) -> bytes:
 
 def _index(width: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         shingler, frequent = Shingler(width), shared.value
         seen: set[int] = set()  # copies within a task are indexed once, as far as there is room
         for whole in batches:
@@ -290,6 +292,7 @@ def _words(column: pa.Array) -> np.ndarray:
 
 def _cut(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         kept: list[np.ndarray] = []
         names = ["bucket", "grams", "counts"]
 
@@ -313,6 +316,7 @@ def _posted(shared):
     names = ["sig", "nid", "n", "coarse", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         several = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
@@ -361,6 +365,7 @@ def _sets(width: int, shared):
     """(nid, grams) of the texts whose key the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         shingler, wanted = Shingler(width), shared.value
         for whole in batches:
             for batch in slices(whole.filter(pa.array(wanted(column_of(whole, "key").to_numpy().astype(np.int64)))), 2 << 20):
@@ -636,6 +641,7 @@ class NgramJaccard:
 
     def class_links(self) -> DataFrame:
         """(a, b) of similar classes, enough of them to join every component."""
+        collect_garbage(self.spark)
         none = F.lit(0)
         lists = self._lists(self._sized(self.postings.select("*", none.alias("d"), none.alias("at"), none.alias("side"))))
         star = self._centred(lists)

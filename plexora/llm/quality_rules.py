@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexora.llm.common import column_of, ship, slices, stored, texts_of
+from plexora.llm.common import column_of, ship, slices, stored, texts_of, unburden
 from plexora.llm.textstats import TextStats
 
 UNIT = 1024
@@ -73,6 +73,7 @@ CUTOFF = _chi2_quantile(1 - 1e-9, P)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unburden()
     stats = TextStats()
     names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]
     for whole in batches:
