@@ -1,12 +1,13 @@
 """License notices by conditional compression.
 
 Every template is looked for in a block (a paragraph of lines, without comment marks,
-that speaks of licensing) by its exact wording: no word may be missing or changed (a share of them for long ones),
-the words that identify it (names, versions) must be there, in order and within a
-sentence. With other words between them, the window round them is compressed alone
-and with the template as a raw zstandard dictionary, in lower case; the template must
-save a share of its own compressed size, so that words strewn over a long text are no
-notice. Of a block every notice is reported whose words are not all part of a longer
+that speaks of licensing). The window round its words is compressed alone and with the
+template as a raw zstandard dictionary, both as lower-case words without marks between;
+the template must save a share of its own compressed size, so that words strewn over a
+long text are no notice, and what stands between the words but other words changes
+nothing. Within that, the wording is exact: no word may be missing or changed (a share
+of them for long ones), the words that identify it (names, versions) must be there, in
+order and within a sentence. Of a block every notice is reported whose words are not all part of a longer
 one. A candidate line outside all notices is compressed with each template, and the
 one that saves most is the nearest.
 """
@@ -53,7 +54,7 @@ TRIGGER = re.compile(rf"\b(?:licen[cs]e[ds]?|copyright|rights{GAP}reserved|permi
 #: Comment marks at a line's beginning and end.
 MARKS = re.compile(r"^[^\w\"'“(\[]*(?:(?:dnl|rem)\b[^\w\"'“(\[]*)?|\s+[*#/|;%<>!-]+$|\*+/$", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:(?:[.\-]|-\n)[^\W_]+)*")
-#: A notice's window saves at least this share of the template's own compressed size; this share of a template's words may differ.
+#: A notice's window saves at least this share of the template's own compressed size, or what a shorter template saves on itself; this share of a template's words may differ.
 LEAST_SAVED, MOST_MISSING = 0.15, 0.05
 #: What stands between two words where a sentence ends.
 SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s+\W*$")
@@ -72,20 +73,21 @@ class LicenseScanner:
         self.words = {k: words_of(t) for k, t in templates.items()}
         self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.alone = zstandard.ZstdCompressor(level=3)
-        self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
-        self.sizes = {k: len(self.alone.compress(t.lower().encode())) for k, t in templates.items()}
+        own = {k: " ".join(w).encode("utf-8", "surrogatepass") for k, w in self.words.items()}
+        self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in own.items()}
+        self.sizes = {k: len(self.alone.compress(t)) for k, t in own.items()}
+        self.least = {k: min(LEAST_SAVED, self.saved(w, k)) for k, w in self.words.items()}
         self.cache: dict[str, tuple[int, list[tuple[int, str | None, float, list[str]]]]] = {}
 
-    def saved(self, text: str, name: str) -> float:
-        """Bytes that the template saves on the text, as a share of the template's own compressed size."""
-        data = text.lower().encode("utf-8", "surrogatepass")
+    def saved(self, words: list[str], name: str) -> float:
+        """Bytes that the template saves on the words, as a share of the template's own compressed size."""
+        data = " ".join(words).encode("utf-8", "surrogatepass")
         return (len(self.alone.compress(data)) - len(self.given[name].compress(data))) / self.sizes[name]
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """(saved, template), best first."""
-        data = block.lower().encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(data))
-        return sorted((((size - len(c.compress(data))) / self.sizes[k], k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        words = words_of(block)
+        return sorted(((self.saved(words, k), k) for k in self.given), key=lambda x: (-x[0], x[1]))
 
     def differences(self, block: str, name: str) -> list[str]:
         """Words of the template that the block lacks or has otherwise, in order."""
@@ -163,8 +165,8 @@ class LicenseScanner:
         found = []
         for name in names:
             for hits, missing in self.occurrences(name, words, first):
-                saved = self.saved(" ".join(block[spans[hits[0]][0] : spans[hits[-1]][1]].split()), name)
-                if saved >= LEAST_SAVED or hits[-1] - hits[0] < len(hits):  # without other words between
+                saved = self.saved(words[hits[0] : hits[-1] + 1], name)
+                if saved >= self.least[name]:
                     found.append((hits, name, saved, missing))
         return sorted(found, key=lambda x: (-len(x[0]), len(x[3]), x[1]))
 
