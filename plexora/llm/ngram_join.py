@@ -58,6 +58,8 @@ FREQUENT = 24
 CELLS, COARSE, DIFFERENCE_CELLS = 512, 64, 1024
 #: Lists of up to SHORT classes are paired as they are, longer ones by differences. Rows of one key of a join with large values are dealt out in shares of about SHARE.
 SHORT, SHARE = 12, 1000
+#: Pairs of classes of a list that are looked at together.
+BLOCK = 1 << 17
 #: n-grams of a size level per bucket of the frequent class.
 PER_BUCKET = 16
 
@@ -423,12 +425,16 @@ class DifferenceList:
         self.nid, self.c, self.n, self.d, self.at, self.side = (table.column(k).to_numpy().astype(np.int64) for k in ("nid", "c", "n", "d", "at", "side"))
         self.comp, self.percent = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1], percent
 
+    def fits(self, i, j) -> np.ndarray:
+        """Whether sizes and places allow the classes at i and at j, of different components, to be similar."""
+        n, d, share, sides = self.n[j], self.d[j], 100 + self.percent, self.side[i] + self.side[j]
+        most = (100 - self.percent) * (self.n[i] + n)
+        fits = (self.comp[i] != self.comp[j]) & (self.c[i] == self.c[j]) & ((sides == 0) | (sides == 3)) & (100 * np.minimum(self.n[i], n) >= self.percent * np.maximum(self.n[i], n))
+        return fits & (share * np.abs(self.d[i] - d) <= most) & (2 * share * np.minimum(self.d[i] - self.at[i], d - self.at[j]) >= share * (self.d[i] + d) - most)
+
     def after(self, i: int) -> np.ndarray:
         """The classes after i, from other components, that can be similar to it."""
-        n, d, at, share = self.n[i + 1 :], self.d[i + 1 :], self.at[i + 1 :], 100 + self.percent
-        most = (100 - self.percent) * (self.n[i] + n)
-        fits = (self.comp[i + 1 :] != self.comp[i]) & (self.c[i + 1 :] == self.c[i]) & np.isin(self.side[i] + self.side[i + 1 :], (0, 3)) & (100 * np.minimum(self.n[i], n) >= self.percent * np.maximum(self.n[i], n))
-        fits &= (share * np.abs(self.d[i] - d) <= most) & (2 * share * np.minimum(self.d[i] - self.at[i], d - at) >= share * (self.d[i] + d) - most)
+        share, fits = 100 + self.percent, self.fits(i, slice(i + 1, None))
         js = i + 1 + np.flatnonzero(fits)
         if self.spread is None or not len(js):
             return js
@@ -443,6 +449,11 @@ def _partnered(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         found, some = DifferenceList(table, percent), np.zeros(table.num_rows, dtype=bool)
+        if found.spread is None:
+            step = max(1, BLOCK // max(table.num_rows, 1))
+            for k in range(0, table.num_rows, step):
+                some[k : k + step] = found.fits(np.arange(k, min(k + step, table.num_rows))[:, None], slice(None)).any(1)
+            return table.filter(pa.array(some))
         for i in range(table.num_rows - 1):
             if len(js := found.after(i)):
                 some[i] = some[js] = True
