@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plexora.llm.common import column_of, doc_text, new_folder, plan_bytes, slices, stored, texts_of
 from plexora.llm.files import read_files, write_file
-from plexora.llm.tokens import word_tokenizer
+from plexora.llm.tokens import gather, word_tokenizer
 
 MAGIC = b"PLXRPAIR"
 #: Ids of a shard; pairs of a round of replacement, and the least count of a replaced pair.
@@ -41,7 +41,7 @@ NO_ID = -(1 << 63)
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
 
 
 def _pairs_of(seq: np.ndarray, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -53,21 +53,30 @@ def _pairs_of(seq: np.ndarray, keep: int | None) -> tuple[np.ndarray, np.ndarray
     return keys, cells
 
 
+def _counts(cells: np.ndarray) -> np.ndarray:
+    counts = np.bincount(cells, minlength=CELLS + 1)
+    counts[CELLS] = 0
+    return counts
+
+
 def replaced_pairs(seq: np.ndarray, most: int, least: int, keep: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, positions, number of the pair at each): the most frequent adjacent pairs, and where they stand.
+    """(pairs, positions, number of the pair at each): the most frequent adjacent pairs, and where they stand."""
+    keys, cells = _pairs_of(seq, keep)
+    return _frequent(keys, cells, _counts(cells), most, least)
 
-    Pairs are counted in the cells of a hash table, and exactly in the fullest cells;
+
+def _frequent(keys: np.ndarray, cells: np.ndarray, counts: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs are counted in the cells of a hash table, and exactly in the fullest cells;
     where those hold no pair that is frequent enough, in all cells that may hold one.
     """
-    keys, cells = _pairs_of(seq, keep)
-    counts = np.bincount(cells, minlength=CELLS + 1)
-    counts[CELLS] = 0
     bounds = [least]
-    if np.count_nonzero(counts >= least) > most:
-        bounds.insert(0, int(np.partition(counts, -most)[-most]))
+    full = counts[counts >= least]
+    if len(full) > most:
+        bounds.insert(0, int(np.partition(full, -most)[-most]))
     for bound in bounds:
         # Sorted without their places, so that a shard's pairs are held once.
-        some = np.sort(keys[(counts >= bound)[cells]])
+        places = np.flatnonzero((counts >= bound)[cells])
+        some = np.sort(keys[places])
         begin = np.flatnonzero(np.r_[len(some) > 0, some[1:] != some[:-1]])
         n = np.diff(np.r_[begin, len(some)])
         often = np.flatnonzero(n >= least)
@@ -76,28 +85,31 @@ def replaced_pairs(seq: np.ndarray, most: int, least: int, keep: int | None) ->
         if len(pairs):
             break
     pairs = pairs[np.lexsort((pairs, -n))[:most]]
-    own = _cells(pairs)
-    number = np.full(len(cells), -1, dtype=np.int32)
-    table = np.empty(CELLS + 1, dtype=np.int32)
+    own, cells = _cells(pairs), cells[places]
+    number = np.full(len(places), -1, dtype=np.int32)
+    table = np.full(CELLS + 1, -1, dtype=np.int32)
     todo = np.arange(len(pairs), dtype=np.int32)
     while len(todo):  # of pairs that share a cell, one at a time
         of_cell, which = np.unique(own[todo], return_index=True)
-        table.fill(-1)
         table[of_cell] = todo[which]
         found = table[cells]
         at = np.flatnonzero(found >= 0)
-        at = at[pairs[found[at]] == keys[at]]
+        at = at[pairs[found[at]] == keys[places[at]]]
         number[at] = found[at]
+        table[of_cell] = -1
         todo = np.delete(todo, which)
     at = np.flatnonzero(number >= 0)
-    return pairs, at, number[at]
+    return pairs, places[at], number[at]
 
 
 def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules[i] = (a, b) is what symbol base + i stands for. keep is an id that no pair begins with."""
     seq, rules = ids.astype(np.uint32), []
+    if len(seq) > 1:
+        keys, cells = _pairs_of(seq, keep)
+        counts = _counts(cells)
     while len(seq) > 1:
-        pairs, pos, number = replaced_pairs(seq, PAIRS, LEAST, keep)
+        pairs, pos, number = _frequent(keys, cells, counts, PAIRS, LEAST)
         if not len(pairs):
             break
         first = base + sum(map(len, rules))
@@ -106,14 +118,33 @@ def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.nda
         start = np.maximum.accumulate(np.where(new_run, pos, 0))
         taken = (pos - start) % 2 == 0
         pos, number = pos[taken], number[taken]
-        used, number = np.unique(number, return_inverse=True)  # without pairs that lost all their places to others
-        pairs = pairs[used]
+        # Without pairs that lost all their places to others.
+        stand = np.bincount(number, minlength=len(pairs)) > 0
+        pairs, number = pairs[stand], (np.cumsum(stand) - 1)[number]
         keep_mask = np.ones(len(seq), dtype=bool)
         keep_mask[pos + 1] = False
-        seq = seq.copy()
         seq[pos] = (first + number).astype(np.uint32)
         seq = seq[keep_mask]
         rules.append(np.column_stack([(pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)]))
+        if 4 * len(pos) > len(seq):
+            keys, cells = _pairs_of(seq, keep)
+            counts = _counts(cells)
+            continue
+        # Few pairs are others now: those that a replaced one was or touched, and those beside the new symbols.
+        near = np.zeros(len(keys) + 2, dtype=bool)
+        near[pos] = near[pos + 1] = near[pos + 2] = True
+        np.subtract.at(counts, cells[near[1:-1]], 1)
+        keys, cells = keys[keep_mask[1:]], cells[keep_mask[1:]]
+        pos -= np.arange(len(pos))
+        near = np.zeros(len(seq) + 1, dtype=bool)
+        near[pos] = near[pos + 1] = True
+        at = np.flatnonzero(near[1:-1])
+        keys[at] = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        cells[at] = _cells(keys[at])
+        if keep is not None:
+            cells[at[seq[at] == keep]] = CELLS
+        np.add.at(counts, cells[at], 1)
+        counts[CELLS] = 0
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
 
 
@@ -173,7 +204,10 @@ class Shard:
         return np.cumsum(self.lengths) - self.lengths
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.base)
+        """All ids; every rule is expanded once."""
+        single = np.arange(self.base, dtype=np.uint32)
+        rules = expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.rules, self.base)
+        return gather(np.concatenate([single, rules]), np.concatenate([np.ones(self.base, dtype=np.int64), self.rule_lengths]), self.seq)[0]
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document; only the symbols that overlap it are expanded."""
@@ -192,7 +226,6 @@ def _write(tokenizer: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
         base = encode.tokenizer.get_vocab_size(with_added_tokens=True)
-        end = np.array([end_id], dtype=np.uint32)
         doc_ids: list[int] = []
         ids: list[np.ndarray] = []
         size = number = 0
@@ -209,10 +242,12 @@ def _write(tokenizer: str, end_id: int, folder: str):
 
         for whole in batches:
             for batch in slices(whole):
-                for i, x in zip(column_of(batch, "doc_id").to_pylist(), encode(texts_of(batch)), strict=True):
+                flat, sizes = encode.flat(texts_of(batch), end_id)
+                ends = np.cumsum(sizes).tolist()
+                for i, a, b in zip(column_of(batch, "doc_id").to_pylist(), [0, *ends], ends, strict=False):
                     doc_ids.append(i)
-                    ids.append(np.concatenate([x, end]))
-                    size += len(ids[-1])
+                    ids.append(flat[a:b])
+                    size += b - a
                     if size >= SHARD_IDS:
                         yield flush()
         if doc_ids:
@@ -245,7 +280,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(column_of(batch, "name").to_pylist(), column_of(batch, "content"), strict=True):
             shard = Shard(content.as_buffer().to_pybytes())
-            data = memoryview(shard.all().astype("<u4").tobytes())
+            data = memoryview(shard.all().astype("<u4", copy=False)).cast("B")
             starts = shard.starts()
             crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), shard.lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc)), pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(starts), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["name", "doc_id", "own", "n_tokens", "ids_crc32"])
