@@ -124,29 +124,25 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part = word_tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        end = np.array([end_id], dtype=np.uint32)
         for whole in batches:
             for batch in slices(whole):
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(tokenizer(texts_of(batch))):
-                    ids = np.concatenate([ids, end])
-                    cuts = list(range(len(ids) % capacity or capacity, len(ids) + 1, capacity))
-                    data = memoryview(ids.tobytes())
-                    for p, stop in enumerate(cuts):
-                        begin = cuts[p - 1] if p else 0
-                        row.append(k)
-                        piece.append(p)
-                        start.append(begin)
-                        length.append(stop - begin)
-                        crc.append(zlib.crc32(data[4 * begin : 4 * stop]))
-                lengths = np.array(length, dtype=np.int64)
+                ids, sizes = tokenizer.flat(texts_of(batch), end_id)
+                number = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), number)
+                piece = np.arange(len(row)) - (np.cumsum(number) - number)[row]
+                least = (sizes - (number - 1) * capacity)[row]  # the first piece's length
+                start = np.where(piece > 0, least + (piece - 1) * capacity, 0)
+                lengths = np.where(piece > 0, capacity, least)
+                ends = (4 * np.cumsum(lengths)).tolist()
+                data = memoryview(ids).cast("B")
+                crc = [zlib.crc32(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 order = np.argsort(lengths, kind="stable")
                 own = lengths[order]
                 rank = np.empty(len(own), dtype=np.int64)
                 rank[order] = np.arange(len(own)) - np.searchsorted(own, own) + seen[own]
                 seen += np.bincount(lengths, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), part, dtype=np.int32)), column_of(batch, "doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(rank), pa.array(crc, pa.int64())], NAMES
+                    [pa.array(np.full(len(row), part, dtype=np.int32)), column_of(batch, "doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(lengths), pa.array(rank), pa.array(crc, pa.int64())], NAMES
                 )
 
     return run
