@@ -41,7 +41,7 @@ NO_ID = -(1 << 63)
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
 
 
 def _pairs_of(seq: np.ndarray, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +69,9 @@ def _frequent(keys: np.ndarray, cells: np.ndarray, counts: np.ndarray, most: int
     """Pairs are counted in the cells of a hash table, and exactly in the fullest cells;
     where those hold no pair that is frequent enough, in all cells that may hold one.
     """
-    bounds = [least]
-    full = counts[counts >= least]
-    if len(full) > most:
-        bounds.insert(0, int(np.partition(full, -most)[-most]))
+    bounds, full = [least], counts >= least
+    if np.count_nonzero(full) > most:
+        bounds.insert(0, int(np.partition(counts[full], -most)[-most]))
     for bound in bounds:
         # Sorted without their places, so that a shard's pairs are held once.
         places = np.flatnonzero((counts >= bound)[cells])
@@ -102,14 +101,39 @@ def _frequent(keys: np.ndarray, cells: np.ndarray, counts: np.ndarray, most: int
     return pairs, places[at], number[at]
 
 
+def _among(seq: np.ndarray, at: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As replaced_pairs, of the pairs at some positions; also the positions of all pairs that are frequent enough."""
+    keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+    found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(n >= least)
+    often = often[np.lexsort((found[often], -n[often]))[:most]]
+    rank = np.full(len(found), -1, dtype=np.int64)
+    rank[often] = np.arange(len(often))
+    number = rank[which]
+    hit = number >= 0
+    return found[often], at[hit], number[hit], at[(n >= least)[which]]
+
+
 def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rules[i] = (a, b) is what symbol base + i stands for. keep is an id that no pair begins with."""
-    seq, rules = ids.astype(np.uint32), []
-    if len(seq) > 1:
-        keys, cells = _pairs_of(seq, keep)
-        counts = _counts(cells)
+    """(symbols, rules): rules[i] = (a, b) is what symbol base + i stands for. keep is an id that no pair begins with.
+
+    A pair gets more frequent only by new symbols. So once the pairs that may be frequent
+    stand at few places, later rounds look at what is left of those and beside new symbols.
+    """
+    seq, rules, near = ids.astype(np.uint32), [], None
     while len(seq) > 1:
-        pairs, pos, number = _frequent(keys, cells, counts, PAIRS, LEAST)
+        if near is None:
+            keys, cells = _pairs_of(seq, keep)
+            counts = _counts(cells)
+            full = counts >= LEAST
+            places = np.flatnonzero(full[cells]) if np.count_nonzero(full) <= PAIRS else ()
+            if len(places) and 4 * len(places) <= len(seq):
+                near = places
+            else:
+                pairs, pos, number = _frequent(keys, cells, counts, PAIRS, LEAST)
+            del keys, cells, counts
+        if near is not None:
+            pairs, pos, number, near = _among(seq, near, PAIRS, LEAST)
         if not len(pairs):
             break
         first = base + sum(map(len, rules))
@@ -126,25 +150,14 @@ def re_pair(ids: np.ndarray, base: int, keep: int | None = None) -> tuple[np.nda
         seq[pos] = (first + number).astype(np.uint32)
         seq = seq[keep_mask]
         rules.append(np.column_stack([(pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)]))
-        if 4 * len(pos) > len(seq):
-            keys, cells = _pairs_of(seq, keep)
-            counts = _counts(cells)
-            continue
-        # Few pairs are others now: those that a replaced one was or touched, and those beside the new symbols.
-        near = np.zeros(len(keys) + 2, dtype=bool)
-        near[pos] = near[pos + 1] = near[pos + 2] = True
-        np.subtract.at(counts, cells[near[1:-1]], 1)
-        keys, cells = keys[keep_mask[1:]], cells[keep_mask[1:]]
-        pos -= np.arange(len(pos))
-        near = np.zeros(len(seq) + 1, dtype=bool)
-        near[pos] = near[pos + 1] = True
-        at = np.flatnonzero(near[1:-1])
-        keys[at] = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        cells[at] = _cells(keys[at])
-        if keep is not None:
-            cells[at[seq[at] == keep]] = CELLS
-        np.add.at(counts, cells[at], 1)
-        counts[CELLS] = 0
+        if near is not None:
+            near = near[keep_mask[near]]
+            near = near - np.searchsorted(pos + 1, near)  # removed symbols before each
+            pos = pos - np.arange(len(pos))
+            near = np.unique(np.concatenate([near, pos - 1, pos]))
+            near = near[(near >= 0) & (near < len(seq) - 1)]
+            if keep is not None:
+                near = near[seq[near] != keep]
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
 
 

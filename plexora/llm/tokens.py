@@ -63,15 +63,15 @@ class WordTokenizer:
     two other characters, and treat what lies between two such cuts alone; so they do
     at a single line's end, and between a letter or digit and the ASCII marks up to the
     cut. So texts are cut there, many at a time, and each different part is looked up
-    or encoded once. Parts are remembered: a new one among the YOUNG, which are
-    forgotten when there are too many, and one that comes again for good, as long as
+    or encoded once. Parts are remembered: a new one among the young, which are
+    forgotten when there are too many in all, and one that comes again for good, as long as
     there is room. New parts are encoded many at a time, with a special token between
     them; where a part is a run of plain letters, the library's model gets it without the
     normalizer and the regular expressions before it. Texts where a blank touches other white space or an end, and texts with
     special strings, are encoded whole.
     """
 
-    #: Words that are remembered for good, and those met once; about 200 bytes each.
+    #: Words that are remembered for good, at most, and those met once when there are so many; about 200 bytes each.
     MOST, YOUNG = 500_000, 300_000
     #: Words that are encoded as one text.
     TOGETHER = 256
@@ -80,7 +80,7 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         added = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)}
@@ -94,7 +94,8 @@ class WordTokenizer:
         # A mark between parts that no part of letters holds.
         mark = "!" + (setup["model"].get("end_of_word_suffix") or "")
         self.mark_id = self.tokenizer.token_to_id(mark) if self.cuts and not setup["model"].get("dropout") else None
-        self.model = Tokenizer.from_str(json.dumps(setup | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
@@ -149,7 +150,7 @@ class WordTokenizer:
         made = [parts[k] for k in new]
         for k, ids in zip(new, ids_of := self._parts(made), strict=True):
             out[k] = ids
-        if len(young) + len(made) > self.YOUNG:
+        if len(known) + len(young) + len(made) > self.MOST + self.YOUNG:
             young.clear()
         young.update(zip(made, ids_of, strict=True))
         return out
