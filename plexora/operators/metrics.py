@@ -114,12 +114,14 @@ def auc(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def link_f1(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """rows(score, label, *keys) -> (*keys, f1): as many rows are called true as there are, those with the largest scores and all that tie with the last."""
-    n = F.sum("label").over(Window.partitionBy(*keys))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc()))
-    ranked = rows.withColumn("n", n).withColumn("place", place)
-    floor = F.max(F.when(F.col("place") == F.col("n"), F.col("score"))).over(Window.partitionBy(*keys))
-    called = ranked.withColumn("yes", (F.col("score") >= floor).cast("long"))
-    s = called.groupBy(*keys).agg(F.sum(F.col("yes") * F.col("label")).alias("tp"), F.sum("yes").alias("yes"), F.sum("label").alias("true"))
+    # Counted over different scores, as in auc: a key's rows are never gathered, only its scores are.
+    per = rows.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+    all_of = Window.partitionBy(*keys)
+    down = all_of.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = per.withColumn("place", F.sum("n").over(down)).withColumn("true", F.sum("p").over(all_of))
+    last = (F.col("place") >= F.col("true")) & (F.col("place") - F.col("n") < F.col("true"))
+    called = ranked.withColumn("floor", F.max(F.when(last, F.col("score"))).over(all_of)).withColumn("yes", (F.col("score") >= F.col("floor")).cast("long"))
+    s = called.groupBy(*keys).agg(F.sum(F.col("yes") * F.col("p")).alias("tp"), F.sum(F.col("yes") * F.col("n")).alias("yes"), F.sum("p").alias("true"))
     return s.select(*keys, (2 * F.col("tp") / (F.col("yes") + F.col("true"))).alias("f1"))
 
 
