@@ -68,7 +68,7 @@ def sample_neighbors(graph: Graph, rows: DataFrame, types: list[int] | None, cou
     """(pos, id, k, etype, dst, weight, w): count draws with replacement, in proportion to weight among the types' edges."""
     asked = rows.withColumn("k", F.explode(numbers(count))).withColumn("h", h60(seed, op, F.col("pos"), F.col("k")))
     edges = graph.edges_of(types).withColumnRenamed("src", "id")
-    found = picked(asked, edges, ["id"], ["etype", "dst", "w"]).select(*rows.columns, "k", "etype", "dst", "weight", "w")
+    found = picked(asked, edges, ["id"], ["etype", "dst", "w"], asked=rows).select(*rows.columns, "k", "etype", "dst", "weight", "w")
     return strictly(found, rows, count) if strict else found
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexora.functions.draws import cumulated, h60, slotted
+from plexora.functions.draws import cumulated, h60, slot_of, slotted
 from plexora.operators.graph import Graph
 
 
@@ -32,7 +32,7 @@ def _picked(stream: DataFrame, items: DataFrame, key: str, order: list[str], h)
     line = cumulated(items, [key], order)
     heads = line.groupBy(key).agg(F.first("total").alias("total"), F.first("n_slots").alias("n_slots"))
     asked = stream.join(heads, key).withColumn("r", h % F.col("total"))
-    asked = asked.withColumn("slot", F.floor(F.col("r") * F.col("n_slots") / F.col("total")).cast("long")).drop("total", "n_slots")
+    asked = asked.withColumn("slot", slot_of("r")).drop("total", "n_slots")
     return asked.join(slotted(line).drop("total", "n_slots"), [key, "slot"]).where("lo <= r and r < hi")
 
 
