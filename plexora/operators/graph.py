@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plexora.functions.draws import integer_weight
+from plexora.functions.shares import shares
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -45,8 +46,10 @@ class Graph:
         edges = _union([spine(df, "etype", k, ["src", "dst"]) for k, df in edge_tables.items()])
         if check:
             rank = F.row_number().over(Window.partitionBy("id").orderBy("vtype", "w"))
-            vertices = vertices.withColumn("_k", rank).where("_k = 1").drop("_k")
-            edges = edges.join(vertices.select(F.col("id").alias("src")), "src", "left_semi").select("etype", "src", "dst", "weight", "w")
+            n = shares(vertices, edges)
+            vertices = vertices.repartition(n, "id").withColumn("_k", rank).where("_k = 1").drop("_k")
+            edges = edges.repartition(n, "src").join(vertices.select(F.col("id").alias("src")).hint("shuffle_hash"), "src")  # the edges of a source are not sorted, however many there are
+            edges = edges.select("etype", "src", "dst", "weight", "w")
         return cls(vertices, edges, vertex_tables, edge_tables)
 
     def cache(self) -> Graph:
@@ -75,7 +78,7 @@ class Graph:
 
     def edge_keys(self) -> DataFrame:
         """Edges without repetitions; of equal ones the lightest stays."""
-        return self.edges.groupBy("etype", "src", "dst").agg(F.min("weight").alias("weight"), F.min("w").alias("w"))
+        return self.edges.repartition(shares(self.edges), "src", "dst").groupBy("etype", "src", "dst").agg(F.min("weight").alias("weight"), F.min("w").alias("w"))
 
     # Metadata
 
@@ -104,7 +107,8 @@ class Graph:
         lone = self.vertices
         if only_missing:
             have = self.edges.where(F.col("etype") == etype)
-            lone = lone.join(have.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+            n = shares(self.vertices, self.edges)
+            lone = lone.repartition(n, "id").join(have.select(F.col("src").alias("id")).repartition(n, "id").distinct().withColumn("_have", F.lit(True)), "id", "left").where("_have is null").drop("_have")  # no anti join: Spark would push it into each type's table
         loops = lone.select(F.lit(etype).cast("int").alias("etype"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(weight).alias("weight"))
         loops = loops.withColumn("w", integer_weight(loops))
         return Graph(self.vertices, self.edges.unionByName(loops), self.vertex_tables, self.edge_tables | {etype: self.edge_tables.get(etype, loops)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexora.functions.shares import shares
 from plexora.operators.graph import Graph
 
 
@@ -56,7 +57,8 @@ def _warehouse_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     placed = edge(t["orders"], _id("o_custkey", 0), _id("o_orderkey", 1), _cents("o_totalprice"))
     items = edge(t["lineitem"], _id("l_orderkey", 1), _id("l_partkey", 2), _cents("l_quantity"))
-    supplied = edge(t["lineitem"].groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")), _id("l_partkey", 2), _id("l_suppkey", 3), F.col("n"))
+    lines = t["lineitem"].repartition(shares(t["lineitem"]), "l_partkey", "l_suppkey")  # most of these pairs stand once
+    supplied = edge(lines.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")), _id("l_partkey", 2), _id("l_suppkey", 3), F.col("n"))
     e = {
         0: placed,
         1: back(placed),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plexora.functions.shares import shares
 from plexora.operators.graph import Graph
 from plexora.sources.schema import EntityType, GraphSchema
 
@@ -62,11 +63,10 @@ def convert(spark: SparkSession, vertex_path: str, edge_path: str, schema: Graph
 
 
 def write_graph(graph: Graph, output: str, partitions: int | None = None) -> None:
-    """One folder per type. Rows with equal ids or sources stand in one file, so that expansions read few."""
-    for kind, tables, key in (("vertex", graph.vertex_tables, "id"), ("edge", graph.edge_tables, "src")):
+    """One folder per type. Rows with near ids or sources stand in one file, so that expansions read few; only a source with many edges has several."""
+    for kind, tables, key in (("vertex", graph.vertex_tables, ["id"]), ("edge", graph.edge_tables, ["src", "dst"])):
         for number, df in tables.items():
-            placed = df.repartition(partitions, key) if partitions else df.repartition(key)
-            placed.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{output}/{kind}={number}")
+            df.repartitionByRange(partitions or shares(df), *key).sortWithinPartitions(key[0]).write.mode("overwrite").parquet(f"{output}/{kind}={number}")
 
 
 def load_graph(spark: SparkSession, path: str, schema: GraphSchema) -> Graph:
