@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plexora.functions.shares import shares
 from plexora.operators.graph import Graph
 
 BUILT_IN = ("vtype", "etype", "weight")
@@ -64,10 +65,11 @@ def edge_features(graph: Graph, rows: DataFrame, names: list[str], dims: list[in
 
 
 def _answered(rows: DataFrame, table: DataFrame, keys: list[str], names: list[str], strict: bool) -> DataFrame:
-    # Of repeated entities one row counts; only what was asked for is looked at.
-    table = table.join(rows.select(*keys).distinct(), keys, "left_semi")
-    table = table.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(f"f_{n}") for n in names]))).where("_n = 1").drop("_n")
-    out = rows.join(table, keys, "left")
+    # Of repeated entities one row counts. No semi join with what is asked for: Spark would push it into each type's table, in one task.
+    n = shares(table, rows)
+    asked = rows.repartition(n, *keys)
+    table = table.repartition(n, *keys).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(f"f_{n}") for n in names]))).where("_n = 1").drop("_n")
+    out = asked.join(table, keys, "left")
     cols = []
     for n in names:
         c = F.col(f"f_{n}")
