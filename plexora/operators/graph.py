@@ -48,7 +48,7 @@ class Graph:
             rank = F.row_number().over(Window.partitionBy("id").orderBy("vtype", "w"))
             n = shares(vertices, edges)
             vertices = vertices.repartition(n, "id").withColumn("_k", rank).where("_k = 1").drop("_k")
-            edges = edges.repartition(n, "src").join(vertices.select(F.col("id").alias("src")).hint("shuffle_hash"), "src")  # the edges of a source are not sorted, however many there are
+            edges = edges.repartition(n, "src").join(vertices.select(F.col("id").alias("src")).hint("shuffle_hash"), "src", "left_semi")  # the edges of a source are not sorted, however many there are
             edges = edges.select("etype", "src", "dst", "weight", "w")
         return cls(vertices, edges, vertex_tables, edge_tables)
 
